@@ -7,14 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, exact_dedup, quality_rules
+from quernel.llm import bpe, chat_trees, exact_dedup, kd_shards, mixing, quality_rules, simhash, substring_dedup
 from quernel.llm.common import table
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("_text", 256)})
 
 
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], rows.schema))
+    out = chat_trees.format_trees(chat_trees.linear(rows))
+    turns, loss = chat_trees.read_turns(F.col("formatted")), chat_trees.read_loss(F.col("formatted"), F.col("spans"))
+    out = out.select("tree", "formatted", turns.alias("turns"), loss.alias("loss"))
+    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(line, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -25,7 +61,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat_trees": op4_chat_trees,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_simhash": op7_simhash,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -35,4 +76,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op4_chat_trees": chat_trees.ORACLE_SQL,
+    "op6_mix_sources": mixing.ORACLE_SQL,
 }

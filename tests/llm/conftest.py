@@ -1,0 +1,12 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))}
+    out = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    out.sparkContext.setLogLevel("ERROR")
+    if out.sparkContext.getCheckpointDir() is None:
+        out.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    return out
