@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat_trees, exact_dedup, kd_shards, mixing, quality_rules, simhash, substring_dedup
+from quernel.llm import bpe, chat_trees, exact_dedup, kd_shards, mixing, pii, quality_rules, simhash, substring_dedup
 from quernel.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
