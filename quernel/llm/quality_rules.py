@@ -119,3 +119,9 @@ def quality_rules(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "t
     measured = docs.withColumn("_measures", _measures(text_of(text_col), lang))
     out = {c: m(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")} | {"n_dup_lines": m("lines.dup"), "base_failed": base, "failed": names(False)}
     return measured.withColumns(out).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_measures")
+
+
+def keep(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that a rule rejects, with the columns of docs alone."""
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), *[F.col(c) for c in {text_col, lang_col} & {*docs.columns}])
+    return quality_rules(marked, rules, text_col, lang_col).where("kept").select("_row.*")

@@ -6,6 +6,11 @@ within that small ball; matches are verified over all bits. Equal fingerprints a
 spanning links only, so a dense group of m fingerprints gives about m links, not all its pairs. A table entry with very
 many fingerprints is dealt out over blocks whose pairs are verified in separate tasks.
 
+Fingerprints may have several lanes of 64 bits, each from its own mixing of the shingles' hashes. One lane with a small
+radius is searched exhaustively: the balls are wide enough that no link is missed. A similarity of 0.8 is a distance of
+a seventh of all bits, for which no such balls exist; with several lanes balls of one bit in all segments of all lanes
+find a pair of that similarity in most cases, and more similar ones nearly always; the distance over all lanes decides.
+
 Defined results: a null text equals the empty text, whose fingerprint is 0 and is linked like any other. Every input
 row has one output row; the representative of a component is its smallest id that isn't null. Empty tables give empty
 results. Extra columns are ignored.
@@ -27,6 +32,7 @@ from quernel.llm.components import components
 
 BITS = 64
 SEED = 42
+GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Most fingerprints of one table entry that one task verifies against each other.
 BLOCK = 30_000
 #: Pairs that are verified in one step.
@@ -34,23 +40,30 @@ STEP = 1 << 21
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int) -> bytes:
-    """Eight bytes, the highest bit first. Words are what stands between white space."""
+def fingerprint(text: bytes, width: int, lanes: int = 1) -> bytes:
+    """Eight bytes a lane, the highest bit first. Words are what stands between white space."""
     from xxhash import xxh64_digest
 
     words = text.translate(LOWER).split()
     if not words:
-        return bytes(8)
+        return bytes(8 * lanes)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxh64_digest(joined, SEED)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
-    ends = [*gaps[width - 1 :].tolist(), len(joined)]
-    hashes = np.frombuffer(b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, np.int64)
+        digests = xxh64_digest(joined, SEED)
+    else:
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
+        ends = [*gaps[width - 1 :].tolist(), len(joined)]
+        digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)])
+    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+    return b"".join(_majority(hashes if k == 0 else _mixed(hashes + np.uint64(k * GOLDEN & MASK))) for k in range(lanes))
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """A bit is 1 if it is in over half the hashes."""
+    bytes_, ones = hashes.byteswap().view(np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 255 * 128):
-        bits = np.unpackbits(hashes[start : start + 255 * 128], axis=1)
+        bits = np.unpackbits(bytes_[start : start + 255 * 128], axis=1)
         whole = len(bits) // 255 * 255
         if whole:
             ones += np.add.reduce(bits[:whole].reshape(-1, 255, BITS), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
@@ -59,8 +72,34 @@ def fingerprint(text: bytes, width: int) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """id and fp, the fingerprint as a signed long, for each row of docs. width: words in a shingle."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _kind(lanes: int) -> T.DataType:
+    return T.LongType() if lanes == 1 else T.StructType([T.StructField(f"f{k}", T.LongType()) for k in range(lanes)])
+
+
+def _column(fps: np.ndarray):
+    """Rows of lanes as an Arrow column."""
+    import pyarrow as pa
+
+    own = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(fps.shape[1])]
+    return own[0] if len(own) == 1 else pa.StructArray.from_arrays(own, [f"f{k}" for k in range(len(own))])
+
+
+def _rows(column) -> np.ndarray:
+    import pyarrow as pa
+
+    own = column.flatten() if pa.types.is_struct(column.type) else [column]
+    return np.stack([x.to_numpy(zero_copy_only=False).view(np.uint64) for x in own], axis=1)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 1) -> DataFrame:
+    """id and fp, the fingerprint as a signed long (or as a struct of lanes), for each row of docs. width: words in a shingle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -68,11 +107,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                fps = [int.from_bytes(fingerprint(t or b"", width), "big", signed=True) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps, pa.int64())], ["id", "fp"])
+                fps = b"".join([fingerprint(t or b"", width, lanes) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _column(np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, lanes))], ["id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", T.LongType())]))
+    return slim.mapInArrow(run, T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", _kind(lanes))]))
 
 
 def n_segments(n: int, radius: int) -> int:
@@ -80,21 +119,21 @@ def n_segments(n: int, radius: int) -> int:
     return max(2, min(radius + 1, int(BITS / max(1.0, math.log2(max(2, n))))))
 
 
-def entries(nodes: DataFrame, segments: int, radius: int) -> DataFrame:
+def entries(nodes: DataFrame, segments: int, ball: int, lanes: int = 1) -> DataFrame:
     """key, fp, member: fingerprints under their own segments (members), and where they look for larger values.
 
     Of two values in a ball one is larger, so each pair is found once, by the smaller.
     """
     edges = [round(i * BITS / segments) for i in range(segments + 1)]
 
-    def of(k: int, low: int, width: int) -> Column:
-        masks = [sum(1 << b for b in bits) for r in range(1, radius // segments + 1) for bits in itertools.combinations(range(width), r)]
-        own = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
+    def of(k: int, lane: int, low: int, width: int) -> Column:
+        masks = [sum(1 << b for b in bits) for r in range(1, ball + 1) for bits in itertools.combinations(range(width), r)]
+        own = F.shiftrightunsigned("fp" if lanes == 1 else f"fp.f{lane}", low).bitwiseAND((1 << width) - 1)
         at = lambda value, member: F.struct(value.bitwiseOR(F.lit(k << 40)).alias("key"), F.lit(member).alias("member"))
-        ball = F.transform(F.lit(masks).cast("array<bigint>") if masks else F.array().cast("array<bigint>"), lambda m: own.bitwiseXOR(m))
-        return F.concat(F.array(at(own, True)), F.transform(F.filter(ball, lambda v: v > own), lambda v: at(v, False)))
+        around = F.transform(F.lit(masks).cast("array<bigint>") if masks else F.array().cast("array<bigint>"), lambda m: own.bitwiseXOR(m))
+        return F.concat(F.array(at(own, True)), F.transform(F.filter(around, lambda v: v > own), lambda v: at(v, False)))
 
-    out = [of(k, low, high - low) for k, (low, high) in enumerate(itertools.pairwise(edges))]
+    out = [of(lane * segments + k, lane, low, high - low) for lane in range(lanes) for k, (low, high) in enumerate(itertools.pairwise(edges))]
     return nodes.select("fp", F.explode(F.concat(*out)).alias("e")).select("e.key", "fp", "e.member")
 
 
@@ -110,16 +149,22 @@ class _Forest:
             parent[x] = x = parent.get(p, p)
         return x
 
-    def spanning(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """The places of the links between rows of a and b that join something."""
+        names = lambda x: x[:, 0].tolist() if x.shape[1] == 1 else np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel().tolist()
         out = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        for i, (x, y) in enumerate(zip(names(a), names(b), strict=True)):
             p, q = self.find(x), self.find(y)
             if p != q:
                 self.parent[p] = q
-                out.append((x, y))
+                out.append(i)
         return out
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint16) <= radius
+
+
 def _dense(fps: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links of a large entry: members among each other, then each looker with each component of members."""
     own, lookers = fps[member], fps[~member]
@@ -131,16 +176,16 @@ def _dense(fps: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[n
         rest = rest[rest != seed]
         while stack and len(rest):
             x = stack.pop()
-            near = np.bitwise_count(own[rest] ^ own[x]) <= radius
+            near = _near(own[rest], own[x], radius)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 label[found] = seed
                 stack += found.tolist()
-                yield np.full(len(found), own[x]), own[found]
-    step = max(1, STEP // max(1, len(own)))
+                yield np.repeat(own[x : x + 1], len(found), axis=0), own[found]
+    step = max(1, STEP // max(1, own.size))
     for start in range(0, len(lookers), step):
         part = lookers[start : start + step]
-        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ own[None, :]) <= radius)
+        i, j = np.nonzero(_near(part[:, None], own[None, :], radius))
         _, first = np.unique(i * np.int64(len(own)) + label[j], return_index=True)
         yield part[i[first]], own[j[first]]
 
@@ -148,32 +193,34 @@ def _dense(fps: np.ndarray, member: np.ndarray, radius: int) -> Iterator[tuple[n
 def _verified(radius: int):
     """Spanning links from rows that are ordered by key and block."""
 
-    def links(key: np.ndarray, fp: np.ndarray, member: np.ndarray) -> list[tuple[int, int]]:
+    def links(key: np.ndarray, fp: np.ndarray, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes, members = np.diff(np.r_[starts, len(key)]), np.add.reduceat(member.astype(np.int64), starts)
-        forest, out = _Forest(), []
+        forest = _Forest()
         pairs = np.where(sizes > 1, sizes * members, 0)
         for g in np.flatnonzero(pairs > 4096):
             s = slice(starts[g], starts[g] + sizes[g])
             for a, b in _dense(fp[s], member[s], radius):
-                out += forest.spanning(a, b)
+                on = forest.spanning(a, b)
+                yield a[on], b[on]
         few = np.flatnonzero((pairs > 0) & (pairs <= 4096))
         total = np.cumsum(pairs[few])
-        for part in np.split(few, np.searchsorted(total, np.arange(STEP, total[-1] if len(total) else 0, STEP))):
+        step = STEP // fp.shape[1]
+        for part in np.split(few, np.searchsorted(total, np.arange(step, total[-1] if len(total) else 0, step))):
             if not len(part):
                 continue
             n, size = pairs[part], sizes[part]  # every row of an entry with each of its members
             group = np.repeat(np.arange(len(part)), n)
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            order = np.concatenate([np.flatnonzero(member[starts[g] : starts[g] + sizes[g]]) + starts[g] for g in part]) if len(part) < 64 else _members(starts[part], size, member)
+            order = _members(starts[part], size, member)
             first = np.cumsum(members[part]) - members[part]
-            a = fp[order[first[group] + place // size[group]]]
-            b = fp[starts[part][group] + place % size[group]]
-            near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+            a = order[first[group] + place // size[group]]
+            b = starts[part][group] + place % size[group]
+            near = _near(fp[a], fp[b], radius) & (a != b)
             if near.any():
-                pair = np.unique(np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])]), axis=1)
-                out += forest.spanning(*pair)
-        return out
+                a, b = fp[a[near]], fp[b[near]]
+                on = forest.spanning(a, b)
+                yield a[on], b[on]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,18 +228,16 @@ def _verified(radius: int):
         held: list[np.ndarray] = []
 
         def give(key, fp, member):
-            found = links(key, fp, member)
-            if found:
-                a, b = np.array(found, np.uint64).view(np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for a, b in links(key, fp, member):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([_column(a), _column(b)], ["a", "b"])
 
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-            member = batch.column("member").to_numpy(zero_copy_only=False).astype(bool)
-            held.append((key, fp.view(np.uint64), member))
+            key, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "member"))
+            held.append((key, _rows(batch.column("fp")), member.astype(bool)))
             rows += len(key)
             if rows < 500_000:
                 continue
@@ -213,9 +258,10 @@ def _members(starts: np.ndarray, sizes: np.ndarray, member: np.ndarray) -> np.nd
     return places[member[places]]
 
 
-def near_links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1) -> DataFrame:
     """a and b: links that connect what is within radius. nodes: distinct fp, checkpointed."""
-    found = entries(nodes, n_segments(nodes.count(), radius), radius)
+    segments = n_segments(nodes.count(), radius)
+    found = entries(nodes, segments, radius // segments if lanes == 1 else 1, lanes)
     hot = checkpoint(found.where("member").groupBy("key").count().where(F.col("count") > block))
     if hot.limit(1).count():
         blocks = small(hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("n")))
@@ -225,18 +271,27 @@ def near_links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
         found = found.join(blocks, "key", "left").select("key", "fp", "member", F.explode(to).alias("block"))
         found = found.withColumn("key", F.when(F.col("block") > 0, F.xxhash64("key", "block")).otherwise(F.col("key"))).drop("block")
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_verified(radius), "a long, b long")
+    return dealt.mapInArrow(_verified(radius), T.StructType([T.StructField(c, _kind(lanes)) for c in "ab"]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """id_col, fingerprint (16 hex digits) and component_id, the smallest id reachable over links of at most radius bits."""
-    fps = checkpoint(fingerprints(docs, id_col, text_col, width))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, lanes: int = 1, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
+    """id_col, fingerprint (16 hex digits a lane) and component_id, the smallest id reachable over links of at most radius bits.
+
+    Without a radius, it is the distance at which sets of shingles of a Jaccard similarity of `similarity` are expected,
+    and `slack` standard errors more, or half the pairs of just that similarity would be missed.
+    """
+    if radius is None:
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        radius = round(BITS * lanes * share + slack * math.sqrt(BITS * lanes * share * (1 - share)))
+    fps = checkpoint(fingerprints(docs, id_col, text_col, width, lanes))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(nodes.select("fp"), radius))
+    roots = components(near_links(nodes.select("fp"), radius, lanes=lanes))
     own = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     named = own.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    parts = ["fp"] if lanes == 1 else [f"fp.f{k}" for k in range(lanes)]
+    shown = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in parts])
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:

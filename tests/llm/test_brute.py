@@ -89,18 +89,38 @@ def test_fingerprints_hard(spark):
         assert got == {i: brute.fingerprint(t, width) for i, t in enumerate(texts)}
 
 
-def test_large_entries():
+@pytest.mark.parametrize("lanes", [1, 2])
+def test_large_entries(lanes):
     """Many members and lookers in one entry, against all pairs."""
     r = np.random.default_rng(3)
-    base = r.integers(0, 1 << 63, 30, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base[r.integers(0, 30, 400)] ^ (np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64)), base]))
+    base = r.integers(0, 1 << 63, (30, lanes), dtype=np.uint64)
+    flip = np.zeros((400, lanes), np.uint64)
+    flip[:, 0] = np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base[r.integers(0, 30, 400)] ^ flip, base]), axis=0)
     member = r.random(len(fps)) < 0.5
-    links = [(a, b) for x, y in simhash._dense(fps, member, 4) for a, b in zip(x.tolist(), y.tolist())]
-    assert all((a ^ b).bit_count() <= 4 for a, b in links)
     joined = simhash._Forest()
-    for a, b in links:
-        joined.spanning(np.array([a]), np.array([b]))
-    for i, a in enumerate(fps.tolist()):
-        for j, b in enumerate(fps.tolist()):
-            if member[i] and i != j and (a ^ b).bit_count() <= 4:
-                assert joined.find(a) == joined.find(b)
+    for x, y in simhash._dense(fps, member, 4):
+        assert simhash._near(x, y, 4).all()
+        joined.spanning(x, y)
+    names = fps[:, 0].tolist() if lanes == 1 else [x.tobytes() for x in fps]
+    for i in range(len(fps)):
+        for j in np.flatnonzero(simhash._near(fps, fps[i], 4)):
+            if member[i] and i != j:
+                assert joined.find(names[i]) == joined.find(names[j])
+
+
+def test_similar_texts_over_lanes(spark):
+    """Nearly all copies with a few words changed meet; other texts don't."""
+    r = random.Random(1)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        text = [r.choice(vocab) for _ in range(300)]
+        for copy in range(3):
+            changed = list(text)
+            for at in r.sample(range(300), 3 * copy):
+                changed[at] = r.choice(vocab)
+            rows.append((g * 10 + copy, " ".join(changed)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), lanes=3).collect()}
+    assert all(c // 10 == i // 10 for i, c in got.items())
+    assert sum(c == i // 10 * 10 for i, c in got.items()) >= 114
