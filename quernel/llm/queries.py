@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import bpe, chat_trees, exact_dedup, kd_shards, mixing, pii, quality_rules, simhash, substring_dedup
+from quernel.llm import bpe, chat_trees, cotrain, exact_dedup, kd_shards, mixing, pii, quality_rules, simhash, substring_dedup
 from quernel.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("kept", F.col("score") >= 0.5)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("_text", 256)})
 
@@ -68,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_cotrain_quality": op2_cotrain_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_trees": op4_chat_trees,
     "op5_substring_dedup": op5_substring_dedup,
