@@ -36,6 +36,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value, which the optimizer then computes in one place: it doesn't move or copy what isn't deterministic, so a filter on parts of it doesn't compute it again for each part."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array."""
     trimmed = F.btrim(text, F.lit(SEPARATORS))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import let, text_of
+from quernel.llm.common import let, once, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -251,7 +251,7 @@ def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
     text = text_of(text_col)
     accepted = F.lit(chosen).cast("array<int>") if chosen else F.array().cast("array<int>")
 
-    out = docs.withColumn("_base", F.struct(*[_bare(base_spans(text, k)).alias(k) for k in KINDS]))
+    out = docs.withColumn("_base", once(F.struct(*[_bare(base_spans(text, k)).alias(k) for k in KINDS])))
     out = out.withColumn("_more", F.struct(*[F.filter(_candidates(text, k), lambda c: F.array_contains(accepted, c["cell"])).alias(k) for k in KINDS]))
     taken = F.concat(*[F.col(f"_base.{k}") for k in KINDS])
     kept = {}

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import SEPARATORS, let, text_of, words_of
+from quernel.llm.common import SEPARATORS, let, once, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -43,7 +43,8 @@ RULES = [
     Rule("too_short", "n_words", least=20, base=True),
     Rule("repetition", "repeat_percent", most=30, base=True),
     Rule("word_length", "mean_word_length", least=1.5, most=20),
-    Rule("symbols", "symbols_per_word", most=1.0),
+    Rule("symbols", "symbols_per_word", most=0.3),
+    Rule("shouting", "upper_ratio", most=0.5),
     Rule("stop_words", "stop_word_ratio", least=0.01),
     Rule("duplicate_lines", "dup_line_ratio", most=0.7),
 ]
@@ -83,6 +84,7 @@ def _measures(text: Column, lang: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             repeat_words(words).alias("n_repeat_words"),
             F.when(listed.isNotNull(), let(listed, lambda s: F.size(F.filter(words, lambda w: F.array_contains(s, F.lower(F.rtrim(w, F.lit("!.,;:?*$%&#"))))))))
@@ -103,6 +105,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "t
         "repeat_percent": F.lit(100) * m("n_repeat_words") / words,
         "mean_word_length": m("word_chars") / words,
         "symbols_per_word": m("n_symbols") / words,
+        "upper_ratio": m("n_upper") / F.greatest(m("word_chars"), F.lit(1)),
         "stop_word_ratio": m("n_stop_words") / words,
         "dup_line_ratio": m("lines.dup") / F.greatest(m("lines.n"), F.lit(1)),
     }
@@ -116,7 +119,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "t
 
     names = lambda base: F.filter(F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules if r.base or not base]), lambda x: x.isNotNull())
     base = reduce(lambda a, b: a | b, [fails(r) for r in rules if r.base], F.lit(False))
-    measured = docs.withColumn("_measures", _measures(text_of(text_col), lang))
+    measured = docs.withColumn("_measures", once(_measures(text_of(text_col), lang)))
     out = {c: m(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")} | {"n_dup_lines": m("lines.dup"), "base_failed": base, "failed": names(False)}
     return measured.withColumns(out).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_measures")
 
