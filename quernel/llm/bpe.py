@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import text_of
+from quernel.llm.common import map_arrow, text_of
 
 #: A leaf is rank << PLACE_BITS | place, so that one comparison finds the leftmost of the lowest rank.
 PLACE_BITS = 40
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """id_col and ids, the token ids of the whole text."""
     slim = _slim(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return slim.mapInArrow(_encoded(path or vocabulary(), "ids"), schema).withColumnRenamed("id", id_col)
+    return map_arrow(slim, _encoded(path or vocabulary(), "ids"), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -240,11 +240,11 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     slim = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("text", T.StringType())])
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(slim, run, schema).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col with counts and digests of the ids and of the text decoded from them, without a second pass."""
     slim = _slim(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType)] + [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("decoded_chars", T.LongType()))])
-    return slim.mapInArrow(_encoded(path or vocabulary(), "digest"), schema).withColumnRenamed("id", id_col)
+    return map_arrow(slim, _encoded(path or vocabulary(), "digest"), schema).withColumnRenamed("id", id_col)

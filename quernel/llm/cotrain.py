@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import text_of
+from quernel.llm.common import map_arrow, text_of
 from quernel.llm.substring_dedup import SEPARATOR, word_hashes
 
 LABELLED, POOL, ROUNDS = 4000, 4000, 5
@@ -168,7 +168,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
                 yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(rows, pa.binary())], ["id", "label", "x"])
 
     both = slim.join(chosen, "id").unionByName(slim.join(others, "id").withColumn("label", F.lit(float("nan"))))
-    rows = both.dropDuplicates(["id"]).mapInArrow(run, "id string, label double, x binary").orderBy("id").collect()  # at most labelled + pool
+    rows = map_arrow(both.dropDuplicates(["id"]), run, "id string, label double, x binary").orderBy("id").collect()  # at most labelled + pool
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, TEXT_SIZE + META_SIZE), np.float32)
     return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:], np.array([r["label"] for r in rows], float)
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_co
 
     slim = _slim(docs, id_col, text_col)
     fields = [slim.schema["id"], *[T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")]]
-    return slim.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)
+    return map_arrow(slim, run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:

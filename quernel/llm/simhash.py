@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import checkpoint, small, text_of, without
+from quernel.llm.common import checkpoint, map_arrow, small, text_of, without
 from quernel.llm.components import components
 
 BITS = 64
@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("id"), _column(np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, lanes))], ["id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", _kind(lanes))]))
+    return map_arrow(slim, run, T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", _kind(lanes))]))
 
 
 def n_segments(n: int, radius: int) -> int:
@@ -271,7 +271,7 @@ def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1
         found = found.join(blocks, "key", "left").select("key", "fp", "member", F.explode(to).alias("block"))
         found = found.withColumn("key", F.when(F.col("block") > 0, F.xxhash64("key", "block")).otherwise(F.col("key"))).drop("block")
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_verified(radius), T.StructType([T.StructField(c, _kind(lanes)) for c in "ab"]))
+    return map_arrow(dealt, _verified(radius), T.StructType([T.StructField(c, _kind(lanes)) for c in "ab"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, lanes: int = 1, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
