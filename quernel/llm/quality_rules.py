@@ -128,3 +128,25 @@ def keep(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", lan
     """docs without the rows that a rule rejects, with the columns of docs alone."""
     marked = docs.select(F.struct(*docs.columns).alias("_row"), *[F.col(c) for c in {text_col, lang_col} & {*docs.columns}])
     return quality_rules(marked, rules, text_col, lang_col).where("kept").select("_row.*")
+
+
+def oracle_sql() -> str:
+    """What op10_quality_rules returns, as DuckDB SQL; the thresholds are those of RULES, ids are distinct there."""
+    of = {r.name: r for r in RULES}
+    stops = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in STOP_WORDS.items())
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+hashed AS (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' '))) AS h FROM d WHERE len(w) >= 8),
+placed AS (SELECT doc_id, unnest(h) AS x, unnest(range(1, len(h) + 1)) AS i FROM hashed),
+twice AS (SELECT doc_id, x FROM placed GROUP BY doc_id, x HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS k FROM placed JOIN twice USING (doc_id, x)) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
+             list_filter(w, lambda x: list_contains(CASE lang {stops} END, lower(rtrim(x, '!.,;:?*$%&#')))) AS s FROM d LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < {of["too_short"].least} OR 100 * n_repeat_words > {of["repetition"].most} * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS n FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n BETWEEN {of["word_length"].least} AND {of["word_length"].most} AND n_symbols / n <= {of["symbols"].most}
+       AND n_upper / greatest(word_chars, 1)::DOUBLE <= {of["shouting"].most} AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= {of["duplicate_lines"].most}
+       AND (lang IS NULL OR lang NOT IN ({", ".join(repr(k) for k in STOP_WORDS)}) OR len(s) / n >= {of["stop_words"].least}) AS kept
+FROM b"""

@@ -91,4 +91,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op4_chat_trees": chat_trees.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op10_quality_rules": quality_rules.oracle_sql(),
 }

@@ -317,3 +317,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     out = own.join(found, at, "left").select("id", "text", "places").mapInArrow(_removed(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
+
+
+#: What op5_substring_dedup returns, as DuckDB SQL over all windows; ids are distinct there.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+hashed AS (SELECT doc_id, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' '))) AS h FROM d WHERE len(w) >= 35),
+placed AS (SELECT doc_id, unnest(h) AS x, unnest(range(1, len(h) + 1)) AS i FROM hashed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM placed WHERE x IN (SELECT x FROM placed GROUP BY x HAVING count(*) > 1)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
