@@ -92,8 +92,15 @@ SELECTS: dict[str, str | tuple[str, str]] = {
 ROUNDED = {"q1": {"sum_price": 2, "avg_discount": 6}, "q3": {"revenue": 2}, "q6": {"revenue": 2}}
 
 
+_databases: dict[tuple, Database] = {}
+
+
 def database(spark: SparkSession, sf_dir: str) -> Database:
-    return Database(spark).register_parquet(sf_dir, *TABLES)
+    """The driver's tables; one database for a session and folder."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _databases:
+        _databases[key] = Database(spark).register_parquet(sf_dir, *TABLES)
+    return _databases[key]
 
 
 def _select(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,9 @@ class Database:
 
     # tables
     def register_parquet(self, folder: str, *names: str) -> Database:
-        """Tables over folder/NAME.parquet, read when they are asked for."""
+        """Tables over folder/NAME.parquet. Files are listed and their schema is read at the first use alone; register anew if they change."""
         for n in names:
-            self.views[n] = lambda n=n: self.spark.read.parquet(f"{folder}/{n}.parquet")
+            self.views[n] = cache(lambda n=n: self.spark.read.parquet(f"{folder}/{n}.parquet"))
         return self
 
     def register(self, name: str, df: DataFrame) -> Database:
