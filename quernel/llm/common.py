@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], **types: str) -> DataFrame:
+    """A few rows from expressions alone, without Python on the executors; types: of the columns, by name."""
+    structs = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, types.items(), strict=True)]) for r in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
 def text_of(name: str = "text") -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

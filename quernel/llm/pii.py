@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import let, once, text_of
+from quernel.llm.common import let, literal_rows, once, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -183,7 +183,7 @@ def cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def snippet_cells(spark) -> list[tuple[int, int]]:
     """(cell, good) of the labelled snippets."""
-    df = spark.createDataFrame(SNIPPETS, "before string, s string, kind string, good int")
+    df = literal_rows(spark, SNIPPETS, before="string", s="string", kind="string", good="int")
     m = F.struct("before", "s", F.lit("").alias("after"))
     cell = F.coalesce(*[F.when(F.col("kind") == k, let(m, lambda x: _cell(k, x))) for k in KINDS])
     return [tuple(r) for r in df.select(cell, "good").collect()]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, chat_trees, cotrain, exact_dedup, kd_shards, mixing, pii, quality_rules, simhash, substring_dedup
-from quernel.llm.common import table
+from quernel.llm.common import literal_rows, table
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], rows.schema))
+    rows = rows.unionByName(literal_rows(spark, [(-1, 0, "user", ok), (-1, 1, "assistant", ok)], conv_id="bigint", turn="bigint", role="string", text="string"))
     out = chat_trees.format_trees(chat_trees.linear(rows))
     turns, loss = chat_trees.read_turns(F.col("formatted")), chat_trees.read_loss(F.col("formatted"), F.col("spans"))
     out = out.select("tree", "formatted", turns.alias("turns"), loss.alias("loss"))
