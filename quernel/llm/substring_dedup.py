@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import checkpoint, small, text_of
+from quernel.llm.common import BROADCAST_ROWS, checkpoint, map_arrow, text_of
 
 WINDOW = 35
 #: Bytes that are cut into words in one step, to the next separator.
@@ -258,10 +258,10 @@ def _met(ends: bool):
 
 
 def _meet(runs: DataFrame, ends: bool) -> DataFrame:
-    """Rows of equal keys meet by sorting."""
-    dealt = runs.repartition("key").sortWithinPartitions("key", "context")
+    """Rows of equal keys and contexts meet by sorting; for ends, all contexts of a key do."""
+    dealt = runs.repartition(*["key", "context"][: 1 if ends else 2]).sortWithinPartitions("key", "context")
     schema = T.StructType([runs.schema["id"], runs.schema["key"], runs.schema["place"], T.StructField("open", T.BooleanType())])
-    return dealt.mapInArrow(_met(ends), schema)
+    return map_arrow(dealt, _met(ends), schema)
 
 
 def _by_text(runs: DataFrame, *lists: str) -> DataFrame:
@@ -305,17 +305,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_of(text_col)
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND((1 << TEXT_BITS) - 1).alias("tag"), text.cast("binary").alias("text"))
     kind = own.schema["id"].dataType
-    met = checkpoint(_meet(own.mapInArrow(_seeded(window), _runs(kind)), True))
+    met = checkpoint(_meet(map_arrow(own, _seeded(window), _runs(kind)), True))
 
-    ends = small(checkpoint(_by_text(met.where("open"), "key")))
+    opened = met.where("open")
+    few = opened.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # runs, not texts: a text's list has no other bound
+    ends = _by_text(opened, "key")
+    ends = F.broadcast(ends) if few else ends.hint("shuffle_hash")
     at = own["id"].eqNullSafe(ends["_id"]) & (own["tag"] == ends["_tag"])
-    windows = own.join(ends, at).select("id", "text", "places", "keys").mapInArrow(_extended(window), _runs(kind))
+    windows = map_arrow(own.join(ends, at).select("id", "text", "places", "keys"), _extended(window), _runs(kind))
     more = _meet(windows, False)
 
     found = _by_text(met.where("not open").select("id", "place").union(more.select("id", "place"))).hint("shuffle_hash")
     at = own["id"].eqNullSafe(found["_id"]) & (own["tag"] == found["_tag"])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
-    out = own.join(found, at, "left").select("id", "text", "places").mapInArrow(_removed(window), schema)
+    out = map_arrow(own.join(found, at, "left").select("id", "text", "places"), _removed(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
 
 
