@@ -55,9 +55,11 @@ def runs(messages: DataFrame) -> DataFrame:
     # link: where the pointer leads, while that is in the same run
     own = checkpoint(own.select("tree", "id", known.alias("parent"), "children", F.when(F.col("un") == 1, known).alias("link"), F.when(F.col("un") == 1, 1).otherwise(0).cast("long").alias("place"), F.when(F.col("un") == 1, known).otherwise(F.col("id")).alias("head")))
     left = own.where("link is not null").count()
-    while left:
+    while left:  # only messages that haven't reached the head of their run go on
         to = own.select(F.col("tree").alias("tt"), F.col("id").alias("ti"), F.col("link").alias("tl"), F.col("place").alias("tp"), F.col("head").alias("th"))
-        own = checkpoint(own.join(to, own["tree"].eqNullSafe(to["tt"]) & (own["link"] == to["ti"]), "left").select("tree", "id", "parent", "children", F.col("tl").alias("link"), (F.col("place") + F.coalesce("tp", F.lit(0))).alias("place"), F.coalesce("th", "head").alias("head")))
+        on = own.where("link is not null").join(to, own["tree"].eqNullSafe(to["tt"]) & (own["link"] == to["ti"]))
+        on = on.select("tree", "id", "parent", "children", F.col("tl").alias("link"), (F.col("place") + F.col("tp")).alias("place"), F.col("th").alias("head"))
+        own = checkpoint(own.where("link is null").union(on))
         now = own.where("link is not null").count()
         if now == left:  # only cycles are left: they have no head
             own = checkpoint(own.where("link is null"))
