@@ -40,8 +40,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = scanned.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), "_len", whole.alias("_hash"), *[v.alias(k) for k, v in (carry or {}).items()])
     hashed = checkpoint(hashed)
 
+    # checkpointed, the groups have no partitioning of their own: a long join is then one whose hot keys Spark splits
     groups = hashed.where("_hash is not null").groupBy("_len", "_hash").agg(F.max(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-    out = hashed.join(groups, ["_len", "_hash"], "left")
+    out = hashed.join(small(checkpoint(groups)), ["_len", "_hash"], "left")
     alone = F.col("_n").isNull()
     return out.select(
         F.col(id_col),
