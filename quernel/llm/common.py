@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: The separators of words: space and U+0009 to U+000D.
 SEPARATORS = " \t\n\u000b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a key table that may be broadcast (at some 64 bytes a row 32 MB); a longer table is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a key table that may be broadcast (at some 150 bytes a row 40 MB); a longer table is joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
