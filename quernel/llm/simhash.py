@@ -287,14 +287,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_links(nodes.select("fp"), radius, lanes=lanes))
     own = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "root").select("fp", "component_id")
+    # checkpointed, the shorter sides have no partitioning of their own: these are joins whose hot keys Spark splits
+    least = small(checkpoint(own.groupBy("root").agg(F.min("least").alias("component_id"))))
+    named = small(checkpoint(own.join(least, "root").select("fp", "component_id")))
     parts = ["fp"] if lanes == 1 else [f"fp.f{k}" for k in range(lanes)]
     shown = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in parts])
     return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:
-    """docs without the rows whose id isn't their component's smallest."""
+    """docs without the rows whose id isn't their component's smallest. Rows of one id go together; a null id names no row, so its rows stay."""
     found = near_duplicates(docs, id_col, text_col, **kind)
-    return without(docs, checkpoint(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()), id_col)
+    return without(docs, checkpoint(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()), id_col)
