@@ -10,6 +10,7 @@ Fingerprints may have several lanes of 64 bits, each from its own mixing of the
 radius is searched exhaustively: the balls are wide enough that no link is missed. A similarity of 0.8 is a distance of
 a seventh of all bits, for which no such balls exist; with several lanes balls of one bit in all segments of all lanes
 find a pair of that similarity in most cases, and more similar ones nearly always; the distance over all lanes decides.
+The segments are as many as find a pair just at the radius with probability RECALL, whatever the size of the table.
 
 Defined results: a null text equals the empty text, whose fingerprint is 0 and is linked like any other. Every input
 row has one output row; the representative of a component is its smallest id that isn't null. Empty tables give empty
@@ -35,6 +36,8 @@ SEED = 42
 GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Most fingerprints of one table entry that one task verifies against each other.
 BLOCK = 30_000
+#: With several lanes, the share of pairs just at the radius that the search finds at least.
+RECALL = 0.9
 #: Pairs that are verified in one step.
 STEP = 1 << 21
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -119,6 +122,20 @@ def n_segments(n: int, radius: int) -> int:
     return max(2, min(radius + 1, int(BITS / max(1.0, math.log2(max(2, n))))))
 
 
+def recall(radius: int, lanes: int, segments: int) -> float:
+    """The probability that balls of one bit in all segments of all lanes find a pair that differs in radius bits, at random."""
+    missed, share, edges = 1.0, radius / (BITS * lanes), [round(i * BITS / segments) for i in range(segments + 1)]
+    for low, high in itertools.pairwise(edges):
+        width = high - low
+        missed *= 1 - (1 - share) ** width - width * share * (1 - share) ** (width - 1)
+    return 1 - missed**lanes
+
+
+def lane_segments(radius: int, lanes: int) -> int:
+    """The fewest segments a lane that reach RECALL; they don't depend on the number of fingerprints."""
+    return next((s for s in range(2, BITS // 4) if recall(radius, lanes, s) >= RECALL), BITS // 4)
+
+
 def entries(nodes: DataFrame, segments: int, ball: int, lanes: int = 1) -> DataFrame:
     """key, fp, member: fingerprints under their own segments (members), and where they look for larger values.
 
@@ -260,7 +277,7 @@ def _members(starts: np.ndarray, sizes: np.ndarray, member: np.ndarray) -> np.nd
 
 def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1) -> DataFrame:
     """a and b: links that connect what is within radius. nodes: distinct fp, checkpointed."""
-    segments = n_segments(nodes.count(), radius)
+    segments = n_segments(nodes.count(), radius) if lanes == 1 else lane_segments(radius, lanes)
     found = entries(nodes, segments, radius // segments if lanes == 1 else 1, lanes)
     hot = checkpoint(found.where("member").groupBy("key").count().where(F.col("count") > block))
     if hot.limit(1).count():
