@@ -12,6 +12,10 @@ a seventh of all bits, for which no such balls exist; with several lanes balls o
 find a pair of that similarity in most cases, and more similar ones nearly always; the distance over all lanes decides.
 The segments are as many as find a pair just at the radius with probability RECALL, whatever the size of the table.
 
+Given a similarity instead of a radius, fingerprints only name candidates: within each component of theirs, texts are
+compared by the Jaccard similarity of their sets of shingles (as 64-bit hashes), and just the pairs that reach it are
+links. A component of very many shingles is dealt out over blocks as above.
+
 Defined results: a null text equals the empty text, whose fingerprint is 0 and is linked like any other. Every input
 row has one output row; the representative of a component is its smallest id that isn't null. Empty tables give empty
 results. Extra columns are ignored.
@@ -38,19 +42,17 @@ GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 BLOCK = 30_000
 #: With several lanes, the share of pairs just at the radius that the search finds at least.
 RECALL = 0.9
+#: Most bytes of shingles of one component that one task compares with each other.
+SET_BYTES = 1 << 23
 #: Pairs that are verified in one step.
 STEP = 1 << 21
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int, lanes: int = 1) -> bytes:
-    """Eight bytes a lane, the highest bit first. Words are what stands between white space."""
+def _hashes(words: list[bytes], joined: bytes, width: int) -> np.ndarray:
+    """The hash of each shingle; joined: the words, of which there is one at least, with a space between."""
     from xxhash import xxh64_digest
 
-    words = text.translate(LOWER).split()
-    if not words:
-        return bytes(8 * lanes)
-    joined = b" ".join(words)
     if len(words) <= width:
         digests = xxh64_digest(joined, SEED)
     else:
@@ -58,7 +60,20 @@ def fingerprint(text: bytes, width: int, lanes: int = 1) -> bytes:
         starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
         ends = [*gaps[width - 1 :].tolist(), len(joined)]
         digests = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)])
-    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+    return np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+def _words(text: bytes) -> tuple[list[bytes], bytes]:
+    words = text.translate(LOWER).split()
+    return words, b" ".join(words)
+
+
+def fingerprint(text: bytes, width: int, lanes: int = 1) -> bytes:
+    """Eight bytes a lane, the highest bit first. Words are what stands between white space."""
+    words, joined = _words(text)
+    if not words:
+        return bytes(8 * lanes)
+    hashes = _hashes(words, joined, width)
     return b"".join(_majority(hashes if k == 0 else _mixed(hashes + np.uint64(k * GOLDEN & MASK))) for k in range(lanes))
 
 
@@ -101,8 +116,11 @@ def _rows(column) -> np.ndarray:
     return np.stack([x.to_numpy(zero_copy_only=False).view(np.uint64) for x in own], axis=1)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 1) -> DataFrame:
-    """id and fp, the fingerprint as a signed long (or as a struct of lanes), for each row of docs. width: words in a shingle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 1, named: bool = False) -> DataFrame:
+    """id and fp, the fingerprint as a signed long (or as a struct of lanes), for each row of docs. width: words in a shingle.
+
+    named: also doc, a digest of the words.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,11 +128,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                fps = b"".join([fingerprint(t or b"", width, lanes) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), _column(np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, lanes))], ["id", "fp"])
+                texts = part.column("text").to_pylist()
+                fps = b"".join([fingerprint(t or b"", width, lanes) for t in texts])
+                out = {"id": part.column("id"), "fp": _column(np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, lanes))}
+                if named:
+                    out["doc"] = pa.array([_name(t or b"") for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     slim = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    return map_arrow(slim, run, T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", _kind(lanes))]))
+    fields = [T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", _kind(lanes)), T.StructField("doc", T.BinaryType())]
+    return map_arrow(slim, run, T.StructType(fields if named else fields[:2]))
+
+
+def _name(text: bytes) -> bytes:
+    """The name of all texts of these words."""
+    from xxhash import xxh128_digest
+
+    return xxh128_digest(_words(text)[1], SEED)
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """doc and shingles, their distinct hashes as bytes, for each row's text that has words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                texts = [t for t in batch.slice(start, 256).column("text").to_pylist() if t.split()]
+                sets = [np.unique(_hashes(*_words(t), width)).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(t) for t in texts], pa.binary()), pa.array(sets, pa.binary())], ["doc", "shingles"])
+
+    return map_arrow(texts, run, "doc binary, shingles binary")
 
 
 def n_segments(n: int, radius: int) -> int:
@@ -291,25 +336,118 @@ def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1
     return map_arrow(dealt, _verified(radius), T.StructType([T.StructField(c, _kind(lanes)) for c in "ab"]))
 
 
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of sets whose Jaccard similarity is as given, or more.
+
+    With the rarest elements first, two such sets have a common one among the first of both, so others aren't compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc, starts = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    ids = ids[np.lexsort((ids, counts[ids], doc))]
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    ahead = (np.arange(len(ids)) - starts[doc] < first[doc]) & (counts[ids] > 1)
+    by = np.argsort(ids[ahead], kind="stable")
+    holders = doc[ahead][by]
+    place = np.searchsorted(ids[ahead][by], np.arange(len(counts) + 1))
+    mark, left, n_left, out = np.zeros(len(counts), bool), np.ones(len(sets), bool), len(sets), []
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], stack = False, [seed]
+        n_left -= 1
+        while stack and n_left:
+            x = stack.pop()
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            hit = np.zeros(len(sets), bool)
+            for t in own[: first[x]]:
+                hit[holders[place[t] : place[t + 1]]] = True
+            hit &= left & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1e-9)
+            tried = np.flatnonzero(hit)
+            mark[own] = True
+            for part in np.split(tried, np.searchsorted(np.cumsum(sizes[tried]), np.arange(STEP, sizes[tried].sum(), STEP))):
+                if not len(part):
+                    continue
+                n = sizes[part]
+                begin = np.cumsum(n) - n
+                common = np.add.reduceat(mark[ids[np.repeat(starts[part] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+                found = part[common / (n + sizes[x] - common) >= similarity]
+                left[found] = False
+                n_left -= len(found)
+                out += [(x, y) for y in found.tolist()]
+                stack += found.tolist()
+            mark[own] = False
+    return out
+
+
+def _compared(similarity: float):
+    """Spanning links from docs that are ordered by key."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def give(held: list[tuple]) -> Iterator:
+            links = _similar([np.frombuffer(s, np.uint64) for _, s in held], similarity) if len(held) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([held[link[i]][0] for link in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            for k, doc, shingles in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "shingles")), strict=True):
+                if k != key:
+                    yield from give(held)
+                    key, held = k, []
+                held.append((doc, shingles))
+        yield from give(held)
+
+    return run
+
+
+def alike_links(texts: DataFrame, members: DataFrame, width: int, similarity: float, most: int = SET_BYTES) -> DataFrame:
+    """a and b, docs: links that connect what is similar enough and has the same key. texts: text; members: doc and key, checkpointed."""
+    sets = checkpoint(shingle_sets(texts, width).dropDuplicates(["doc"]).join(small(members), "doc").select("key", "doc", "shingles"))
+    size = sets.groupBy("key").agg(F.sum(F.octet_length("shingles")).alias("size")).where(F.col("size") > most)
+    hot = checkpoint(size.select("key", F.ceil(F.col("size") / most).cast("int").alias("n")))
+    if hot.limit(1).count():
+        own, every = F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"), F.sequence(F.lit(0), F.col("n") - 1)
+        to = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.transform(every, lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j)))
+        sets = sets.join(small(hot), "key", "left").select("key", "doc", "shingles", F.explode(to).alias("block"))
+        sets = sets.withColumn("key", F.when(F.col("block") > 0, F.xxhash64("key", "block")).otherwise(F.col("key"))).drop("block")
+    dealt = sets.repartition("key").sortWithinPartitions("key")
+    return map_arrow(dealt, _compared(similarity), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, lanes: int = 1, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
     """id_col, fingerprint (16 hex digits a lane) and component_id, the smallest id reachable over links of at most radius bits.
 
-    Without a radius, it is the distance at which sets of shingles of a Jaccard similarity of `similarity` are expected,
-    and `slack` standard errors more, or half the pairs of just that similarity would be missed.
+    Without a radius, links are pairs of a Jaccard similarity of `similarity` and more among the candidates. These are
+    reachable over the distance at which sets of shingles of that similarity are expected, and `slack` standard errors
+    more, or half the pairs of just that similarity would be missed.
     """
-    if radius is None:
+    exact = radius is None
+    if exact:
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi
         radius = round(BITS * lanes * share + slack * math.sqrt(BITS * lanes * share * (1 - share)))
-    fps = checkpoint(fingerprints(docs, id_col, text_col, width, lanes))
+    fps = checkpoint(fingerprints(docs, id_col, text_col, width, lanes, named=exact))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_links(nodes.select("fp"), radius, lanes=lanes))
     own = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # checkpointed, the shorter sides have no partitioning of their own: these are joins whose hot keys Spark splits
+    node = "doc" if exact else "fp"
+    if exact:
+        nodes = checkpoint(fps.groupBy("doc", "fp").agg(F.min("id").alias("least")))
+        grouped = checkpoint(nodes.join(small(own.select("fp", F.xxhash64("root").alias("key"))), "fp").select("doc", "least", "key"))
+        shared = small(checkpoint(grouped.groupBy("key").count().where("count > 1").select("key")))
+        members = checkpoint(grouped.join(shared, "key"))
+        sought = small(checkpoint(members.select(F.col("least").alias("_least")).distinct()))
+        texts = docs.join(sought, docs[id_col].eqNullSafe(sought["_least"]), "left_semi").select(text_of(text_col).cast("binary").alias("text"))
+        roots = components(alike_links(texts, members.select("doc", "key"), width, similarity))
+        own = checkpoint(grouped.join(small(checkpoint(roots)), F.col("doc") == F.col("node"), "left").select("doc", "least", F.coalesce("root", "doc").alias("root")))
     least = small(checkpoint(own.groupBy("root").agg(F.min("least").alias("component_id"))))
-    named = small(checkpoint(own.join(least, "root").select("fp", "component_id")))
+    named = small(checkpoint(own.join(least, "root").select(node, "component_id")))
     parts = ["fp"] if lanes == 1 else [f"fp.f{k}" for k in range(lanes)]
     shown = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in parts])
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return fps.join(named, node).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kind) -> DataFrame:

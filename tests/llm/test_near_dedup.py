@@ -1,5 +1,9 @@
-"""Near-dedup at a similarity: what the search finds at any size."""
+"""Near-dedup at a similarity: what the search finds at any size, and that only similar documents are dropped."""
 
+import itertools
+import random
+
+import corpus_pipeline
 import numpy as np
 
 from quernel.llm import simhash
@@ -26,3 +30,66 @@ def test_recall_at_any_size(spark, monkeypatch):
     shares = [hit[apart == d].mean() for d in (15, 29, RADIUS)]
     print(shares)
     assert shares[0] > 0.99 and shares[1] > 0.95 and shares[2] > 0.88
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_only_similar_ones_are_dropped(spark, monkeypatch):
+    """Families of templated pages that share some 70% of shingles, chains and copies, against brute force."""
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts, page = [], words(330)
+    for _ in range(60):
+        texts.append(" ".join(page + words(70)))
+    for _ in range(10):
+        chain = words(300)
+        for k in range(4):
+            texts.append(" ".join(chain[20 * k :] + words(20 * k)))
+        texts.append(" ".join(chain).upper())
+    texts += ["", None, "a b", "A  b", "lone words"]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])]
+    sets = {i: shingles(t or "") for i, t in enumerate(texts)}
+    root = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = {k: new if v == old else v for k, v in root.items()}
+    assert len({root[i] for i in range(60)}) == 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda: sorted(x["doc_id"] for x in corpus_pipeline.near(spark, docs, "").collect() if x["doc_id"] is not None)
+    got = kept()
+    assert set(got) >= set(root.values()) and got.count(3) == 2
+    assert set(range(60)) <= set(got)
+    found = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs, width=5, similarity=0.8, lanes=LANES).collect()}
+    assert all(root[i] == root[c] for i, c in found.items() if i is not None) and found[None] == 0
+    blocks = simhash.alike_links
+    monkeypatch.setattr(simhash, "alike_links", lambda *a: blocks(*a, most=20_000))
+    assert kept() == got
+
+
+def test_similar_against_brute_force():
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(300):
+        base = sets[r.integers(len(sets))] if sets and r.random() < 0.8 else np.unique(r.integers(0, 1000, 60, dtype=np.uint64))
+        sets.append(np.unique(np.r_[base[r.random(len(base)) > 0.08], r.integers(0, 1000, r.integers(1, 7), dtype=np.uint64)]))
+    joined = lambda links: {frozenset(x) for x in groups(len(sets), links).values()}
+    python = [set(s.tolist()) for s in sets]
+    want = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if jaccard(python[i], python[j]) >= 0.8]
+    got = simhash._similar(sets, 0.8)
+    assert all(jaccard(python[i], python[j]) >= 0.8 for i, j in got)
+    assert joined(got) == joined(want) and len(got) == len(sets) - len(joined(want))
+
+
+def groups(n, links):
+    root = list(range(n))
+    for i, j in links:
+        root = [root[j] if x == root[i] else x for x in root]
+    return {r: [i for i in range(n) if root[i] == r] for r in root}
