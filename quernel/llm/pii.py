@@ -2,8 +2,9 @@
 
 Strict patterns give the base spans. High-recall generators of the same kinds propose further, overlapping candidates;
 each becomes a cell of binary features of format and context. Boosted trees of depth two are trained on the cells: on
-the counts of all the corpus's candidates (a candidate is good if it is a base span), which are at most two a cell, and
-on a short list of labelled snippets. Scores are calibrated on cells' counts of held-out rows, and a cell is chosen if
+the counts of the corpus's candidates that are known to be good (base spans) or bad (a failed checksum or range, or the
+context of another number), which are at most two a cell, and on a short list of labelled snippets. Other candidates
+have no label. At any size of the corpus, neither class of a kind weighs more than the kind's snippets. Scores are calibrated on cells' counts of held-out rows, and a cell is chosen if
 its calibrated probability passes the threshold; a chosen candidate that overlaps no base span is added. Everything on
 the rows is built-in functions: patterns, cells and the lookup of chosen cells; the driver sees cells only.
 
@@ -159,11 +160,23 @@ def _cell(kind: str, m: Column) -> Column:
     return out
 
 
-def _candidates(text: Column, kind: str) -> Column:
-    """start, end and cell of what the generator of a kind proposes."""
+def _candidates(text: Column, kind: str, judged: bool = False) -> Column:
+    """start, end and cell (judged: also bad) of what the generator of a kind proposes."""
     least = {"email": 0, "ip": 4, "card": 12, "phone": 7}[kind]
     found = F.filter(_matches(text, CANDIDATES[kind], HINTS[kind][1]), lambda m: F.length(_digits(m["s"])).between(least, 19) if least else F.lit(True))
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _cell(kind, m).alias("cell")))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _cell(kind, m).alias("cell"), *([_bad(kind, m).alias("bad")] if judged else [])))
+
+
+def _bad(kind: str, m: Column) -> Column:
+    """Whether a candidate that is no base span surely isn't personal data."""
+    n = F.length(_digits(m["s"]))
+    failed = {
+        "email": ~m["s"].rlike(r"[A-Za-z]{2,}$"),
+        "ip": ~_bytes(m["s"]) | (F.size(F.regexp_extract_all(m["s"], F.lit("[0-9]+"), F.lit(0))) != 4),
+        "card": ~_luhn(_digits(m["s"])),
+        "phone": ~n.between(7, 15),
+    }[kind]
+    return failed | m["before"].rlike(OTHER_NUMBER)
 
 
 def _bare(spans: Column) -> Column:
@@ -171,14 +184,15 @@ def _bare(spans: Column) -> Column:
 
 
 def cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """cell, held (a fifth of the rows), good and n: the counts of all candidates."""
+    """cell, held (a fifth of the rows), good and n: the counts of the candidates that are known to be good or bad."""
     text, rows = text_of(text_col), []
     for kind in KINDS:
         base = _bare(base_spans(text, kind))
-        judged = let(base, lambda b: F.transform(_candidates(text, kind), lambda c: F.struct(c["cell"].alias("cell"), F.array_contains(b, F.struct(c["start"].alias("start"), c["end"].alias("end"))).alias("good"))))
+        is_base = lambda b, c: F.array_contains(b, F.struct(c["start"].alias("start"), c["end"].alias("end")))
+        judged = let(base, lambda b: F.transform(_candidates(text, kind, judged=True), lambda c: F.struct(c["cell"].alias("cell"), F.when(is_base(b, c), True).when(c["bad"], False).alias("good"))))
         rows.append(judged)
     held = F.pmod(F.xxhash64(text), F.lit(5)) == 0
-    return docs.select(held.alias("held"), F.explode(F.concat(*rows)).alias("c")).groupBy("c.cell", "held", "c.good").agg(F.count("*").alias("n"))
+    return docs.select(held.alias("held"), F.explode(F.concat(*rows)).alias("c")).where("c.good IS NOT NULL").groupBy("c.cell", "held", "c.good").agg(F.count("*").alias("n"))
 
 
 def snippet_cells(spark) -> list[tuple[int, int]]:
@@ -224,14 +238,25 @@ def _tree(bits: np.ndarray, tree: tuple) -> np.ndarray:
     return np.where(bits[:, f], side(high), side(low))
 
 
+def _weighed(counts: list[tuple], snippets: list[tuple[int, int]], each: float) -> list[tuple]:
+    """(cell, good, weight) of counts (cell, good, n) and snippets; neither class of a kind has more weight from counts than the kind's snippets have."""
+    kind = lambda c: c & (1 << len(KINDS)) - 1
+    total, most = {}, {}
+    for c, good, n in counts:
+        total[kind(c), good] = total.get((kind(c), good), 0.0) + 1 + math.log(n)
+    for c, _ in snippets:
+        most[kind(c)] = most.get(kind(c), 0.0) + each
+    return [(c, int(good), (1 + math.log(n)) * min(1.0, most.get(kind(c), 0.0) / total[kind(c), good])) for c, good, n in counts] + [(c, g, each) for c, g in snippets]
+
+
 def train(counts: list[tuple], snippets: list[tuple[int, int]], threshold: float = THRESHOLD) -> list[int]:
     """The cells that are chosen. counts: (cell, held, good, n)."""
     as_bits = lambda c: (np.asarray(c, np.int64).reshape(-1, 1) >> np.arange(len(FEATURES)) & 1).astype(bool)
-    fit = [(c, int(good), 1 + math.log(n)) for c, held, good, n in counts if not held] + [(c, g, 2.0) for c, g in snippets]
+    fit = _weighed([(c, good, n) for c, held, good, n in counts if not held], snippets, 2.0)
     cell, good, weight = (np.array(x, float) for x in zip(*fit, strict=True))
     trees = boost(as_bits(cell), good, weight)
     score = lambda c: RATE * sum(_tree(as_bits(c), t) for t in trees)
-    held = [(c, int(good), 1 + math.log(n)) for c, h, good, n in counts if h] + [(c, g, 1.0) for c, g in snippets]
+    held = _weighed([(c, good, n) for c, h, good, n in counts if h], snippets, 1.0)
     cell, good, weight = (np.array(x, float) for x in zip(*held, strict=True))
     a, b, s = 1.0, 0.0, score(cell)
     for _ in range(50):  # a logistic curve through the held-out scores, by Newton's steps
