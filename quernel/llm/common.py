@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,26 @@ BROADCAST_ROWS = 250_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where that is unset, one machine takes a temporary folder; on a cluster it is an error, as machines don't share theirs.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow, by workers that find this package where the driver does (on a cluster, where it is installed or given by --py-files)."""
     environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])

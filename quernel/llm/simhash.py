@@ -1,16 +1,18 @@
 """Operator 7: near-duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint is cut into segments; two that differ in at most `radius` bits differ in at most radius // segments bits
-of one of them. Each fingerprint is entered in a table under each of its segments, and looks there under every value
-within that small ball; matches are verified over all bits. Equal fingerprints are one entry. Links are given out as
-spanning links only, so a dense group of m fingerprints gives about m links, not all its pairs. A table entry with very
-many fingerprints is dealt out over blocks whose pairs are verified in separate tasks.
-
-Fingerprints may have several lanes of 64 bits, each from its own mixing of the shingles' hashes. One lane with a small
-radius is searched exhaustively: the balls are wide enough that no link is missed. A similarity of 0.8 is a distance of
-a seventh of all bits, for which no such balls exist; with several lanes balls of one bit in all segments of all lanes
-find a pair of that similarity in most cases, and more similar ones nearly always; the distance over all lanes decides.
-The segments are as many as find a pair just at the radius with probability RECALL, whatever the size of the table.
+A fingerprint is cut into segments, each with a small ball; if the balls' radii and one for each segment sum up to more
+than `radius`, two fingerprints within `radius` meet in the ball of one segment at least. Each fingerprint is entered in
+a table under each of its segments, and looks there under every value within the ball; matches are verified over all
+bits. Any number of segments finds all links; of those the one with the least work is taken: entries, and comparisons of
+what meets in an entry. Equal fingerprints are one entry. Links are given out as spanning links only, so a dense group
+of m fingerprints gives about m links, not all its pairs. A table entry with very many fingerprints is dealt out over
+blocks whose pairs are verified in separate tasks.
+
+Fingerprints may have several lanes of 64 bits, each from its own mixing of the shingles' hashes. A similarity of 0.8 is
+a distance of a seventh of all bits, for which no balls of guaranteed success exist. With several lanes, segments of two
+to four bytes have balls of one bit, and there are as many segments as find a pair at the stated distance with
+probability SEARCH. For wider segments, which larger tables need, these are drawn several times from the same bytes, so
+that what is found doesn't depend on the size of the table; the distance over all lanes decides.
 
 Given a similarity instead of a radius, fingerprints only name candidates: within each component of theirs, texts are
 compared by the Jaccard similarity of their sets of shingles (as 64-bit hashes), and just the pairs that reach it are
@@ -25,23 +27,29 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import checkpoint, map_arrow, small, text_of, without
+from quernel.llm.common import checkpoint, map_arrow, mixed, small, text_of, without
 from quernel.llm.components import components
 
 BITS = 64
 SEED = 42
 GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-#: Most fingerprints of one table entry that one task verifies against each other.
-BLOCK = 30_000
-#: With several lanes, the share of pairs just at the radius that the search finds at least.
-RECALL = 0.9
+#: Most fingerprints of one table entry that one task verifies against each other; lookers may be LOOKERS times as many.
+BLOCK, LOOKERS = 30_000, 8
+#: With several lanes, the share of pairs whose bits differ with the stated probability that meet in some entry.
+SEARCH = 0.95
+#: Comparisons that cost as much as one table entry, which is shuffled and sorted.
+COMPARISONS = 512
+#: Pairs of one entry that are compared outright; of more, members are first joined to components.
+PAIRS = 1 << 16
 #: Most bytes of shingles of one component that one task compares with each other.
 SET_BYTES = 1 << 23
 #: Pairs that are verified in one step.
@@ -74,7 +82,7 @@ def fingerprint(text: bytes, width: int, lanes: int = 1) -> bytes:
     if not words:
         return bytes(8 * lanes)
     hashes = _hashes(words, joined, width)
-    return b"".join(_majority(hashes if k == 0 else _mixed(hashes + np.uint64(k * GOLDEN & MASK))) for k in range(lanes))
+    return b"".join(_majority(hashes if k == 0 else mixed(hashes + np.uint64(k * GOLDEN & MASK))) for k in range(lanes))
 
 
 def _majority(hashes: np.ndarray) -> bytes:
@@ -90,13 +98,6 @@ def _majority(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _kind(lanes: int) -> T.DataType:
     return T.LongType() if lanes == 1 else T.StructType([T.StructField(f"f{k}", T.LongType()) for k in range(lanes)])
 
@@ -162,41 +163,77 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return map_arrow(texts, run, "doc binary, shingles binary")
 
 
-def n_segments(n: int, radius: int) -> int:
-    """Segments of about log2(n) bits, so that a table entry has about one fingerprint."""
-    return max(2, min(radius + 1, int(BITS / max(1.0, math.log2(max(2, n))))))
+class Segment(NamedTuple):
+    """Pieces (lane, lowest bit, width) whose bits make up a table key, and the radius of the ball around it."""
+
+    pieces: tuple[tuple[int, int, int], ...]
+    ball: int
+
+    @property
+    def width(self) -> int:
+        return sum(w for _, _, w in self.pieces)
+
+    @property
+    def values(self) -> int:
+        return sum(math.comb(self.width, r) for r in range(self.ball + 1))
+
+
+def work(segments: list[Segment], n: int) -> float:
+    """Entries of a fingerprint, and comparisons among n of them that are spread evenly, in entries.
+
+    Of two values in a ball the larger is looked for, so that half the ball is entries.
+    """
+    return sum((1 + s.values) / 2 + s.values * n / 2.0**s.width / COMPARISONS for s in segments)
+
+
+def all_segments(n: int, radius: int) -> list[Segment]:
+    """Segments of one lane that miss no pair within radius."""
+
+    def cut(count: int) -> list[Segment]:
+        edges = [round(i * BITS / count) for i in range(count + 1)]
+        balls = [(radius + 1) // count - (i >= (radius + 1) % count) for i in range(count)]
+        return [Segment(((0, low, high - low),), ball) for (low, high), ball in zip(itertools.pairwise(edges), balls, strict=True) if ball >= 0]
+
+    return min((cut(c) for c in range(2, max(2, radius + 1) + 1)), key=lambda s: work(s, n))
+
 
+def lane_segments(n: int, share: float, lanes: int) -> list[Segment]:
+    """Segments with balls of one bit in which a pair meets with probability SEARCH, if each bit differs with probability share."""
+    bits = BITS * lanes
+    apart = [math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)]
 
-def recall(radius: int, lanes: int, segments: int) -> float:
-    """The probability that balls of one bit in all segments of all lanes find a pair that differs in radius bits, at random."""
-    missed, share, edges = 1.0, radius / (BITS * lanes), [round(i * BITS / segments) for i in range(segments + 1)]
-    for low, high in itertools.pairwise(edges):
-        width = high - low
-        missed *= 1 - (1 - share) ** width - width * share * (1 - share) ** (width - 1)
-    return 1 - missed**lanes
+    def enough(width: int) -> int:
+        apart_by = [(p, (math.comb(bits - d, width) + d * math.comb(bits - d, width - 1)) / math.comb(bits, width)) for d, p in enumerate(apart)]
+        return next(count for count in itertools.count(1) if sum(p * (1 - (1 - meets) ** count) for p, meets in apart_by) >= SEARCH)
 
+    def drawn(size: int) -> list[Segment]:
+        count, order, out = enough(8 * size), list(range(8 * lanes)), []
+        for again in itertools.count(1):
+            out += [Segment(tuple((b // 8, b % 8 * 8, 8) for b in order[i : i + size]), 1) for i in range(0, len(order) - size + 1, size)]
+            if len(out) >= count:
+                return out[:count]
+            order = random.Random(again).sample(order, len(order))
 
-def lane_segments(radius: int, lanes: int) -> int:
-    """The fewest segments a lane that reach RECALL; they don't depend on the number of fingerprints."""
-    return next((s for s in range(2, BITS // 4) if recall(radius, lanes, s) >= RECALL), BITS // 4)
+    return min((drawn(size) for size in (2, 3, 4)), key=lambda s: work(s, n))
 
 
-def entries(nodes: DataFrame, segments: int, ball: int, lanes: int = 1) -> DataFrame:
+def entries(nodes: DataFrame, segments: list[Segment], lanes: int = 1) -> DataFrame:
     """key, fp, member: fingerprints under their own segments (members), and where they look for larger values.
 
     Of two values in a ball one is larger, so each pair is found once, by the smaller.
     """
-    edges = [round(i * BITS / segments) for i in range(segments + 1)]
 
-    def of(k: int, lane: int, low: int, width: int) -> Column:
-        masks = [sum(1 << b for b in bits) for r in range(1, ball + 1) for bits in itertools.combinations(range(width), r)]
-        own = F.shiftrightunsigned("fp" if lanes == 1 else f"fp.f{lane}", low).bitwiseAND((1 << width) - 1)
-        at = lambda value, member: F.struct(value.bitwiseOR(F.lit(k << 40)).alias("key"), F.lit(member).alias("member"))
+    def of(k: int, segment: Segment) -> Column:
+        own, at = F.lit(0).cast("long"), 0
+        for lane, low, width in segment.pieces:
+            piece = F.shiftrightunsigned("fp" if lanes == 1 else f"fp.f{lane}", low).bitwiseAND((1 << width) - 1)
+            own, at = own.bitwiseOR(F.shiftleft(piece, at)), at + width
+        masks = [sum(1 << b for b in bits) for r in range(1, segment.ball + 1) for bits in itertools.combinations(range(segment.width), r)]
+        entry = lambda value, member: F.struct(value.bitwiseOR(F.lit(k << 40)).alias("key"), F.lit(member).alias("member"))
         around = F.transform(F.lit(masks).cast("array<bigint>") if masks else F.array().cast("array<bigint>"), lambda m: own.bitwiseXOR(m))
-        return F.concat(F.array(at(own, True)), F.transform(F.filter(around, lambda v: v > own), lambda v: at(v, False)))
+        return F.concat(F.array(entry(own, True)), F.transform(F.filter(around, lambda v: v > own), lambda v: entry(v, False)))
 
-    out = [of(lane * segments + k, lane, low, high - low) for lane in range(lanes) for k, (low, high) in enumerate(itertools.pairwise(edges))]
-    return nodes.select("fp", F.explode(F.concat(*out)).alias("e")).select("e.key", "fp", "e.member")
+    return nodes.select("fp", F.explode(F.concat(*[of(k, s) for k, s in enumerate(segments)])).alias("e")).select("e.key", "fp", "e.member")
 
 
 class _Forest:
@@ -260,12 +297,12 @@ def _verified(radius: int):
         sizes, members = np.diff(np.r_[starts, len(key)]), np.add.reduceat(member.astype(np.int64), starts)
         forest = _Forest()
         pairs = np.where(sizes > 1, sizes * members, 0)
-        for g in np.flatnonzero(pairs > 4096):
+        for g in np.flatnonzero(pairs > PAIRS):
             s = slice(starts[g], starts[g] + sizes[g])
             for a, b in _dense(fp[s], member[s], radius):
                 on = forest.spanning(a, b)
                 yield a[on], b[on]
-        few = np.flatnonzero((pairs > 0) & (pairs <= 4096))
+        few = np.flatnonzero((pairs > 0) & (pairs <= PAIRS))
         total = np.cumsum(pairs[few])
         step = STEP // fp.shape[1]
         for part in np.split(few, np.searchsorted(total, np.arange(step, total[-1] if len(total) else 0, step))):
@@ -278,7 +315,9 @@ def _verified(radius: int):
             first = np.cumsum(members[part]) - members[part]
             a = order[first[group] + place // size[group]]
             b = starts[part][group] + place % size[group]
-            near = _near(fp[a], fp[b], radius) & (a != b)
+            other = ~member[b] | (a < b)
+            a, b = a[other], b[other]
+            near = _near(fp[a], fp[b], radius)
             if near.any():
                 a, b = fp[a[near]], fp[b[near]]
                 on = forest.spanning(a, b)
@@ -320,18 +359,24 @@ def _members(starts: np.ndarray, sizes: np.ndarray, member: np.ndarray) -> np.nd
     return places[member[places]]
 
 
-def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1) -> DataFrame:
-    """a and b: links that connect what is within radius. nodes: distinct fp, checkpointed."""
-    segments = n_segments(nodes.count(), radius) if lanes == 1 else lane_segments(radius, lanes)
-    found = entries(nodes, segments, radius // segments if lanes == 1 else 1, lanes)
-    hot = checkpoint(found.where("member").groupBy("key").count().where(F.col("count") > block))
+def near_links(nodes: DataFrame, radius: int, block: int = BLOCK, lanes: int = 1, share: float | None = None) -> DataFrame:
+    """a and b: links that connect what is within radius. nodes: distinct fp, checkpointed. share: of bits that differ in the pairs to find."""
+    n = nodes.count()
+    segments = all_segments(n, radius) if lanes == 1 else lane_segments(n, radius / (BITS * lanes) if share is None else share, lanes)
+    found = entries(nodes, segments, lanes)
+    sizes = found.groupBy("key").agg(F.count_if("member").alias("own"), F.count_if(~F.col("member")).alias("lookers"))
+    hot = checkpoint(sizes.where((F.col("own") > block) | (F.col("own") > 0) & (F.col("lookers") > LOOKERS * block)))
     if hot.limit(1).count():
-        blocks = small(hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("n")))
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        every = F.sequence(F.lit(0), F.col("n") - 1)
-        to = F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("member"), F.transform(every, lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))).otherwise(F.transform(every, lambda j: j * F.col("n") + j))
-        found = found.join(blocks, "key", "left").select("key", "fp", "member", F.explode(to).alias("block"))
-        found = found.withColumn("key", F.when(F.col("block") > 0, F.xxhash64("key", "block")).otherwise(F.col("key"))).drop("block")
+        parts = lambda c, most: F.greatest(F.ceil(F.col(c) / most), F.lit(1)).cast("int")
+        blocks = small(hot.select("key", parts("own", block).alias("n"), parts("lookers", LOOKERS * block).alias("m")))
+        own, slice_ = (F.pmod(F.xxhash64("fp"), F.col(c)).cast("int") for c in "nm")
+        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        # cells: pairs of blocks of members, and then each block of members with each part of the lookers
+        pairs = F.transform(upto("n"), lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))
+        cell = lambda j, l: F.col("n") * F.col("n") + j * F.col("m") + l
+        to = F.when(F.col("n").isNull(), F.array(F.lit(-1))).when(F.col("member"), F.concat(pairs, F.transform(upto("m"), lambda l: cell(own, l)))).otherwise(F.transform(upto("n"), lambda j: cell(j, slice_)))
+        found = found.join(blocks, "key", "left").select("key", "fp", "member", F.explode(to).alias("cell"))
+        found = found.withColumn("key", F.when(F.col("cell") >= 0, F.xxhash64("key", "cell")).otherwise(F.col("key"))).drop("cell")
     dealt = found.repartition("key").sortWithinPartitions("key")
     return map_arrow(dealt, _verified(radius), T.StructType([T.StructField(c, _kind(lanes)) for c in "ab"]))
 
@@ -417,20 +462,20 @@ def alike_links(texts: DataFrame, members: DataFrame, width: int, similarity: fl
     return map_arrow(dealt, _compared(similarity), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, lanes: int = 1, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, lanes: int = 1, similarity: float = 0.8, slack: float = 2.0) -> DataFrame:
     """id_col, fingerprint (16 hex digits a lane) and component_id, the smallest id reachable over links of at most radius bits.
 
     Without a radius, links are pairs of a Jaccard similarity of `similarity` and more among the candidates. These are
     reachable over the distance at which sets of shingles of that similarity are expected, and `slack` standard errors
     more, or half the pairs of just that similarity would be missed.
     """
-    exact = radius is None
+    exact, share = radius is None, None
     if exact:
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi
         radius = round(BITS * lanes * share + slack * math.sqrt(BITS * lanes * share * (1 - share)))
     fps = checkpoint(fingerprints(docs, id_col, text_col, width, lanes, named=exact))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(nodes.select("fp"), radius, lanes=lanes))
+    roots = components(near_links(nodes.select("fp"), radius, lanes=lanes, share=share))
     own = checkpoint(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # checkpointed, the shorter sides have no partitioning of their own: these are joins whose hot keys Spark splits
     node = "doc" if exact else "fp"

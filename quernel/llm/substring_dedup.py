@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import BROADCAST_ROWS, checkpoint, map_arrow, text_of
+from quernel.llm.common import BROADCAST_ROWS, checkpoint, map_arrow, mixed, text_of
 
 WINDOW = 35
 #: Bytes that are cut into words in one step, to the next separator.
@@ -39,14 +39,7 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-BYTE = _mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 class _Powers:
@@ -91,7 +84,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         inside = where - np.repeat(begin, sizes)
         up, _ = OF_BYTES.to(int(sizes.max()))
         values = BYTE[np.frombuffer(piece, np.uint8)[where]] * up[inside]
-        out.append(_mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(U)))
+        out.append(mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(U)))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -103,7 +96,7 @@ class _Hashed:
         self.sums = np.concatenate([np.zeros(1, U), np.cumsum(words * up[:-1], dtype=U)])
 
     def of(self, first: np.ndarray, size) -> np.ndarray:
-        return _mixed((self.sums[first + size] - self.sums[first]) * self.down[first])
+        return mixed((self.sums[first + size] - self.sums[first]) * self.down[first])
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
@@ -117,7 +110,7 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
     at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, window - k + 1).argmin(axis=1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[first, n])
-    context = hashed.of(first, size + (window - 1)) ^ _mixed(((at[first] - first) * 1024 + size).astype(U))
+    context = hashed.of(first, size + (window - 1)) ^ mixed(((at[first] - first) * 1024 + size).astype(U))
     return first, size, grams[at[first]], context
 
 
@@ -152,7 +145,7 @@ def _settled(parts: list[tuple], ids) -> Iterator:
     yield pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(np.r_[row[on], row[settled]])),
-            pa.array(np.r_[found(key, on), _mixed(place[settled].astype(U) + row[settled].astype(U)).view(np.int64)]),
+            pa.array(np.r_[found(key, on), mixed(place[settled].astype(U) + row[settled].astype(U)).view(np.int64)]),
             pa.array(np.r_[found(context, on), np.zeros(len(settled), np.int64)]),
             pa.array(np.r_[place[on], place[settled]]),
             pa.array(np.r_[np.where(twice[on], 1, 0), np.full(len(settled), 2)].astype(np.int8)),

@@ -3,33 +3,80 @@
 import itertools
 import random
 
+import brute
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from quernel.llm import simhash
 
-RADIUS, LANES = 34, 3
-
-
-def test_recall_at_any_size(spark, monkeypatch):
-    """Pairs at the radius and below, with segments as for 30 GB (12 million fingerprints)."""
-    as_for = simhash.n_segments
-    monkeypatch.setattr(simhash, "n_segments", lambda n, radius: as_for(12_000_000, radius))
+LANES = 3
+
+
+def pairs_at(similarity, n, rng):
+    """Fingerprints of n pairs of sets of 500 elements, of this similarity."""
+    both = round(500 * similarity)
+    own = (500 - both) // 2
+    lanes = lambda x: np.stack([np.frombuffer(simhash._majority(x if k == 0 else simhash.mixed(x + np.uint64(k * simhash.GOLDEN & simhash.MASK))), ">u8").astype(np.uint64)[0] for k in range(LANES)])
+    out = []
+    for _ in range(n):
+        x = rng.integers(0, 1 << 64, both + 2 * own, dtype=np.uint64)
+        out.append((lanes(x[: both + own]), lanes(x[own:])))
+    return out
+
+
+@pytest.mark.parametrize("size", [10**4, 10**6, 10**8, 5 * 10**9])
+def test_recall_at_any_size(spark, monkeypatch, size):
+    """Pairs of a similarity of 0.8, 0.85 and 0.9, searched as among that many fingerprints."""
+    as_for, every = simhash.lane_segments, simhash.near_links
+    monkeypatch.setattr(simhash, "lane_segments", lambda n, share, lanes: as_for(size, share, lanes))
+    made = {}
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, radius, lanes, share: made.update(radius=radius, share=share) or every(nodes, radius, lanes=lanes, share=share))
+    simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=0.8, lanes=LANES)
     rng = np.random.default_rng(7)
-    n = 1500
-    a = rng.integers(0, 1 << 64, (n, LANES), dtype=np.uint64)
-    apart = np.repeat([15, 29, RADIUS], n // 3)
+    n = 400
+    pairs = {s: pairs_at(s, n, rng) for s in (0.8, 0.85, 0.9)}
+    names = lambda x: tuple(x.view(np.int64).tolist())
+    rows = [(names(x),) for found in pairs.values() for pair in found for x in pair]
+    nodes = simhash.checkpoint(spark.createDataFrame(rows, "fp struct<f0:long,f1:long,f2:long>"))
+    links = {frozenset((tuple(r["a"]), tuple(r["b"]))) for r in every(nodes, made["radius"], lanes=LANES, share=made["share"]).collect()}
+    shares = {s: sum(frozenset(map(names, p)) in links for p in found) / n for s, found in pairs.items()}
+    print(size, shares)
+    assert shares[0.8] >= 0.9 and shares[0.85] >= 0.97 and shares[0.9] >= 0.99
+
+
+@pytest.mark.parametrize("size", [10**4, 10**7, 10**9, 10**11])
+def test_one_lane_misses_nothing(spark, monkeypatch, size):
+    """Pairs of up to four different bits, and hot entries dealt out over cells, searched as among that many fingerprints."""
+    as_for = simhash.all_segments
+    segments = as_for(size, 4)
+    assert simhash.work(segments, 10**9) < 10**4 and sum((1 + s.values) / 2 for s in as_for(10**9, 4)) < 60
+    monkeypatch.setattr(simhash, "all_segments", lambda n, radius: as_for(size, radius))
+    rng = np.random.default_rng(size)
+    a = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
     b = a.copy()
-    for i, d in enumerate(apart):
-        for bit in rng.choice(64 * LANES, d, replace=False):
-            b[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
-    rows = np.concatenate([a, b]).view(np.int64).tolist()
-    nodes = simhash.checkpoint(spark.createDataFrame([(tuple(r),) for r in rows], "fp struct<f0:long,f1:long,f2:long>"))
-    found = {frozenset((tuple(r["a"]), tuple(r["b"]))) for r in simhash.near_links(nodes, RADIUS, lanes=LANES).collect()}
-    hit = np.array([frozenset((tuple(rows[i]), tuple(rows[n + i]))) in found for i in range(n)])
-    shares = [hit[apart == d].mean() for d in (15, 29, RADIUS)]
-    print(shares)
-    assert shares[0] > 0.99 and shares[1] > 0.95 and shares[2] > 0.88
+    for i in range(len(b)):
+        for bit in rng.choice(64, i % 6, replace=False):
+            b[i] ^= np.uint64(1 << int(bit))
+    crowd = np.uint64(0xABCD << 40) ^ rng.integers(0, 1 << 20, 400, dtype=np.uint64)
+    fps = np.unique(np.r_[a, b, crowd])
+    want = brute.near_components([(i, int(f)) for i, f in enumerate(fps)], 4)
+    nodes = simhash.checkpoint(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"))
+    at = {x: i for i, x in enumerate(fps.view(np.int64).tolist())}
+    for block in (simhash.BLOCK, 16):
+        links = [(at[r["a"]], at[r["b"]]) for r in simhash.near_links(nodes, 4, block=block).collect()]
+        got = groups(len(fps), links)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in want if want[i] == r) for r in set(want.values()))
+
+
+def test_components(spark):
+    """A hub with most links, a path, repeated links, loops and null ends."""
+    from quernel.llm.components import components
+
+    rows = [("h", f"x{i}") for i in range(500)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)] + [("q", "r"), ("r", "q"), ("q", "r"), ("s", "s"), (None, "h"), ("z", None)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert got == {"h": "h", "q": "q", "r": "q"} | {f"x{i}": "h" for i in range(500)} | {f"p{i:03}": "p000" for i in range(61)}
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
 def shingles(text):

@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     # who goes has a nearer one that stays, over links within the radius; who stays is alone in its component
     fps = {i: np.frombuffer(simhash.fingerprint(t.encode(), 5, corpus_pipeline.LANES), np.uint64) for i, t in exact.items()}
     ids, matrix = list(fps), np.stack(list(fps.values()))
-    linked = {i: {ids[j] for j in np.flatnonzero(simhash._near(matrix, fps[i], 34))} for i in ids}
+    linked = {i: {ids[j] for j in np.flatnonzero(simhash._near(matrix, fps[i], 39))} for i in ids}
     assert all(any(j in linked[i] for j in exact if j != i) for i in exact.keys() - near.keys())
     sets = {i: set(zip(*[brute.words(t.lower())[k:] for k in range(5)])) for i, t in exact.items()}
     alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
