@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -18,20 +19,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 250_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
-
-    Where that is unset, one machine takes a temporary folder; on a cluster it is an error, as machines don't share theirs.
-    """
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, one machine takes a temporary folder; on a cluster it is an error, as machines don't share theirs."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written beside the checkpoints, for loops: a checkpoint keeps the estimated size of its plan, which is
+    a product at each join, so that over many rounds these numbers themselves grow too long to compute with."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

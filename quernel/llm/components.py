@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import checkpoint
+from quernel.llm.common import checkpoint, written
 
 #: Nodes with more than 1/HEAVY of all links are joined by broadcast: of those there are at most HEAVY.
 HEAVY = 10_000
@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Defined results: links with a null end, and links of a node to itself, are ignored; repeated links count once; no
     links give no rows. Extra columns are ignored.
     """
-    rest = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok")).where("ok and u > v").select("u", "v").distinct())
+    rest = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok")).where("ok and u > v").select("u", "v").distinct())
     total, seen = rest.count(), None
     while total:
         both = rest.union(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rest = checkpoint(_hung(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = checkpoint(rest.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         hung = _hung(rest, least, rest.count())
-        rest = checkpoint(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        rest = written(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct())
         total, mark = rest.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if (total, mark) == seen:
             break
