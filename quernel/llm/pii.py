@@ -26,17 +26,18 @@ from quernel.llm.common import let, literal_rows, once, text_of
 KINDS = ["email", "ip", "card", "phone"]
 
 #: The strict patterns. The guards (not within a run, but where the last match ended) and possessive quantifiers only
-#: save attempts that must fail: matches are those of the plain patterns, leftmost and not overlapping.
+#: save attempts that must fail and the recursion of Java's loops over groups: matches are those of the plain patterns,
+#: leftmost and not overlapping.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: The generators.
 CANDIDATES = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|[(\[{](?:at|AT)[)\]}])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[{](?:dot|DOT|\.)[)\]}])\x20?[A-Za-z0-9-]+)+",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:(?:\.|[(\[](?:dot|\.)[)\]])[0-9]++){3,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|[(\[{](?:at|AT)[)\]}])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[{](?:dot|DOT|\.)[)\]}])\x20?[A-Za-z0-9-]+)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:(?:\.|[(\[](?:dot|\.)[)\]])[0-9]++){3,}+",
     "card": r"[0-9](?:[\x20.-]?[0-9])++",
     "phone": r"[+(]?[0-9][\x20().0-9-]{5,}[0-9]",
 }
@@ -68,6 +69,8 @@ SNIPPETS = [
 ROUNDS, RATE = 60, 0.3
 #: A cell is chosen at this calibrated probability.
 THRESHOLD = 0.9
+#: Spans that are looked through together.
+SPANS = 128
 
 
 def _running(values: Column, start: Column) -> Column:
@@ -183,13 +186,26 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
 
+def _blocks(spans: Column) -> Column:
+    """Spans that are in order and don't overlap, by blocks of SPANS, each with its first start and last end."""
+    part = lambda s: F.struct(s[0]["start"].alias("start"), F.get(s, F.size(s) - 1)["end"].alias("end"), s.alias("spans"))
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(SPANS)), lambda i: part(F.slice(v, i + 1, SPANS)))
+    return let(spans, lambda v: F.when(F.size(v) > 0, parts(v)).otherwise(F.array().cast("array<struct<start:int,end:int,spans:array<struct<start:int,end:int>>>>")))
+
+
+def _meets(blocks: Column, c: Column, equal: bool = False) -> Column:
+    """Whether c overlaps (or equals) a span of the blocks; only blocks that it overlaps are looked into."""
+    over = lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    hit = (lambda b: (b["start"] == c["start"]) & (b["end"] == c["end"])) if equal else over
+    return F.exists(blocks, lambda b: over(b) & F.exists(b["spans"], hit))
+
+
 def cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """cell, held (a fifth of the rows), good and n: the counts of the candidates that are known to be good or bad."""
     text, rows = text_of(text_col), []
     for kind in KINDS:
-        base = _bare(base_spans(text, kind))
-        is_base = lambda b, c: F.array_contains(b, F.struct(c["start"].alias("start"), c["end"].alias("end")))
-        judged = let(base, lambda b: F.transform(_candidates(text, kind, judged=True), lambda c: F.struct(c["cell"].alias("cell"), F.when(is_base(b, c), True).when(c["bad"], False).alias("good"))))
+        base = _blocks(_bare(base_spans(text, kind)))
+        judged = let(base, lambda b: F.transform(_candidates(text, kind, judged=True), lambda c: F.struct(c["cell"].alias("cell"), F.when(_meets(b, c, equal=True), True).when(c["bad"], False).alias("good"))))
         rows.append(judged)
     held = F.pmod(F.xxhash64(text), F.lit(5)) == 0
     return docs.select(held.alias("held"), F.explode(F.concat(*rows)).alias("c")).where("c.good IS NOT NULL").groupBy("c.cell", "held", "c.good").agg(F.count("*").alias("n"))
@@ -270,23 +286,28 @@ def train(counts: list[tuple], snippets: list[tuple[int, int]], threshold: float
     return [int(c) for c in chosen]
 
 
-def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with base and spans: for each kind an array of start and end, base ones, and those with the added ones."""
+def _found(docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """docs with _base and _spans."""
     chosen = train([tuple(r) for r in cells(docs, text_col).select("cell", "held", "good", "n").collect()], snippet_cells(docs.sparkSession), threshold)
     text = text_of(text_col)
     accepted = F.lit(chosen).cast("array<int>") if chosen else F.array().cast("array<int>")
 
     out = docs.withColumn("_base", once(F.struct(*[_bare(base_spans(text, k)).alias(k) for k in KINDS])))
     out = out.withColumn("_more", F.struct(*[F.filter(_candidates(text, k), lambda c: F.array_contains(accepted, c["cell"])).alias(k) for k in KINDS]))
-    taken = F.concat(*[F.col(f"_base.{k}") for k in KINDS])
+    taken = F.concat(*[_blocks(F.col(f"_base.{k}")) for k in KINDS])
     kept = {}
     for k in KINDS:
-        free = let(taken, lambda t: F.filter(F.col(f"_more.{k}"), lambda c: ~F.exists(t, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+        free = let(taken, lambda t: F.filter(F.col(f"_more.{k}"), lambda c: ~_meets(t, c)))
         kept[k] = _bare(free)
-        taken = F.concat(taken, kept[k])
+        taken = F.concat(taken, _blocks(kept[k]))
     none = F.forall(F.array(*[F.size(F.col(f"_more.{k}")) for k in KINDS]), lambda n: n == 0)
     spans = F.when(none, F.col("_base")).otherwise(F.struct(*[F.sort_array(F.concat(F.col(f"_base.{k}"), kept[k])).alias(k) for k in KINDS]))
-    return out.withColumn("base", F.col("_base")).withColumn("spans", spans).drop("_base", "_more")
+    return out.withColumn("_spans", spans).drop("_more")
+
+
+def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with base and spans: for each kind an array of start and end, base ones, and those with the added ones. Columns of these names are replaced."""
+    return _found(docs, text_col, threshold).withColumns({"base": F.col("_base"), "spans": F.col("_spans")}).drop("_base", "_spans")
 
 
 def listed(spans: Column) -> Column:
@@ -296,11 +317,11 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with each found span of text replaced by its kind in brackets."""
-    found = find(docs, text_col, threshold)
-    every = F.sort_array(F.concat(*[F.transform(F.col(f"spans.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS]))
+    found = _found(docs, text_col, threshold)
+    every = F.sort_array(F.concat(*[F.transform(F.col(f"_spans.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS]))
 
     def cut(t: Column, spans: Column) -> Column:
         step = lambda at, s: F.when(s["start"] < at["end"], at).otherwise(F.struct(s["end"].alias("end"), F.concat(at["out"], t.substr(at["end"] + 1, s["start"] - at["end"]), F.lit("["), s["kind"], F.lit("]")).alias("out")))
         return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda at: F.concat(at["out"], t.substr(at["end"] + 1, F.length(t))))
 
-    return found.withColumn(text_col, let(text_of(text_col), lambda t: let(every, lambda s: cut(t, s)))).drop("base", "spans")
+    return found.withColumn(text_col, let(text_of(text_col), lambda t: let(every, lambda s: cut(t, s)))).drop("_base", "_spans")
