@@ -2,7 +2,8 @@
 
 Rows are grouped by length, then by a hash of a short prefix, and only texts that still share both with another row
 are hashed whole. Each step aggregates map-side, so a group of copies of any size reaches a task as one row a
-partition; texts are never shuffled.
+partition; texts are never shuffled. If more groups of length and prefix survive than may be broadcast, finding their
+texts would take a shuffle of texts: then all texts are hashed whole where they are read, with the same results.
 
 Defined results: a null text equals the empty text. Of equal texts the row with the largest id stays (null ids are
 smallest); if that very row is repeated, exactly one of its copies stays. Every input row has one output row.
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm import common
 from quernel.llm.common import checkpoint, small, text_of, without
 
 PREFIX_CHARS = 128
@@ -28,15 +30,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = F.xxhash64(F.substring("_text", 1, prefix_chars))
 
     lengths = checkpoint(sized.groupBy("_len").count().where("count > 1").select("_len"))
-    by_prefix = sized.join(small(lengths), "_len", "left_semi").select("_len", prefix.alias("_prefix"))
-    alike = small(checkpoint(by_prefix.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix", F.lit(True).alias("_alike"))))
+    by_prefix = sized.select("_len", prefix.alias("_prefix")).join(small(lengths), "_len", "left_semi")
+    alike = checkpoint(by_prefix.groupBy("_len", "_prefix").count().where("count > 1").select("_len", "_prefix", F.lit(True).alias("_alike")))
+    n_alike = alike.limit(common.BROADCAST_ROWS + 1).count()
 
     scanned = sized.withColumn("_prefix", prefix)
     whole = F.when(F.col("_alike"), F.sha2(F.col("_text"), 256))
-    if alike.limit(1).count():
-        scanned = scanned.join(alike, ["_len", "_prefix"], "left")
+    if 0 < n_alike <= common.BROADCAST_ROWS:
+        scanned = scanned.join(F.broadcast(alike), ["_len", "_prefix"], "left")
     else:
-        scanned = scanned.withColumn("_alike", F.lit(False))
+        scanned = scanned.withColumn("_alike", F.lit(n_alike > 0))
     hashed = scanned.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), "_len", whole.alias("_hash"), *[v.alias(k) for k, v in (carry or {}).items()])
     hashed = checkpoint(hashed)
 

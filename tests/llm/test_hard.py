@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from quernel.llm import simhash, substring_dedup
+from quernel.llm import common, exact_dedup, simhash, substring_dedup
 
 ROWS = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None), (4, ""), (None, "only"), (5, "x y " * 30_000), (6, "x y " * 30_000)]
 SCHEMA = "doc_id long, text string, fp int, least string, root int, key int, place string, id string, tag int"
@@ -24,3 +24,12 @@ def test_substrings(spark):
     got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
     assert got[5, 60_000] == 60_000 and got[1, 6] == 0 and got[3, 0] == 0
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_without_broadcasts(spark, monkeypatch):
+    """Where no list may be broadcast, results are the same."""
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ROWS)], "doc_id long, text string")
+    want = Counter(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    assert sum(r[3] * n for r, n in want.items()) == len({t or "" for _, t in ROWS})
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
