@@ -31,7 +31,7 @@ PLACE_BITS = 40
 PLACE = (1 << PLACE_BITS) - 1
 NONE = 1 << 80
 #: Runs without white space whose ids a worker remembers in each of two generations.
-MEMORY = 500_000
+MEMORY = 150_000
 LONGEST_REMEMBERED = 48
 #: Rows in a batch that goes through Python at once.
 BATCH_ROWS = 256
