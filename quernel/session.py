@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.errors import BindError, CatalogError, ConstraintError, SerializationFailure, TxnError
+from quernel.errors import BindError, CatalogError, ConstraintError, TxnError
 from quernel.functions import arithmetic as A
 from quernel.operators import stats as S
 from quernel.plans import ast
@@ -18,11 +18,15 @@ from quernel.plans.parser import parse, split_script
 from quernel.sources.snapshots import State, Store, Table
 
 
+#: Seconds for which compaction keeps what a lazy SELECT may still read.
+RETAIN_SECONDS = 3600
+
+
 class Transaction:
     """A base version, and the tables as this transaction has changed them."""
 
-    def __init__(self, base: State, serializable: bool = False):
-        self.base, self.state, self.serializable = base, base.copy(), serializable
+    def __init__(self, base: State, marker: str, serializable: bool = False):
+        self.base, self.state, self.marker, self.serializable = base, base.copy(), marker, serializable
         self.changed: set[str] = set()
         self.seen: set[str] = set()
 
@@ -78,7 +82,7 @@ class Database:
             self._put(name, df.toDF(*[c.name for c in columns]), False)
         except BaseException:
             if alone:
-                self.txn = None
+                self.rollback()
             raise
         if alone:
             self.commit()
@@ -108,7 +112,7 @@ class Database:
         except BaseException:
             self.txn.state = mark  # a failing statement changes nothing
             if alone:
-                self.txn = None
+                self.rollback()
             raise
         if alone:
             self.commit()
@@ -122,21 +126,22 @@ class Database:
             raise TxnError("there is a transaction already")
         if self.store is None:
             raise CatalogError("this database has no path to write to")
-        self.txn = Transaction(self.store.current(), self.serializable)
+        self.txn = Transaction(*self.store.enter(), self.serializable)
 
     def commit(self) -> None:
         txn, self.txn = self.txn, None
-        if txn is None or not txn.changed:
+        if txn is None:
             return
-        if txn.serializable:
-            now = self.store.current()
-            for name in txn.seen - txn.changed:
-                if (t := now.tables.get(name)) is None or t.version != txn.base.tables[name].version:
-                    raise SerializationFailure(f"table {name} was changed after it was read")
-        self.store.publish(txn.state, txn.base, txn.changed)
+        try:
+            if txn.changed:
+                self.store.publish(txn.state, txn.base, txn.changed, txn.seen if txn.serializable else set())
+        finally:
+            self.store.leave(txn.marker)
 
     def rollback(self) -> None:
-        self.txn = None
+        txn, self.txn = self.txn, None
+        if txn:
+            self.store.leave(txn.marker)
 
     def _createtable(self, s: ast.CreateTable) -> None:
         if s.name in self.txn.state.tables or s.name in self.views:
@@ -148,7 +153,7 @@ class Database:
         self.txn.changed.add(s.name)
 
     def _createindex(self, s: ast.CreateIndex) -> None:
-        """The index's column orders the rows within files, so that scans skip row groups by their bounds."""
+        """Files hold ranges of the first index's column and are in its order, then in that of other indexes: scans skip files and row groups by their bounds."""
         t = self._own(s.table)
         if len(s.columns) != 1:
             raise CatalogError("an index has one column")
@@ -178,8 +183,9 @@ class Database:
 
     def _write(self, t: Table, df: DataFrame) -> str:
         if t.indexes:
-            df = df.sortWithinPartitions(*dict.fromkeys(t.indexes.values()))
-        return self.store.write(df)
+            columns = list(dict.fromkeys(t.indexes.values()))
+            df = df.repartitionByRange(columns[0]).sortWithinPartitions(*columns)
+        return self.store.write(df, self.txn.marker)
 
     def _stored(self, b: Bound, kind: str) -> Column:
         """A value as a column of kind keeps it."""
@@ -264,17 +270,21 @@ class Database:
         self._put(s.table, env.df.select(*out), False)
 
     # maintenance
-    def compact(self) -> int:
-        """Each table in one folder, and nothing kept but the newest version; the number of folders deleted."""
+    def compact(self, retain_seconds: float = RETAIN_SECONDS) -> int:
+        """Each table in one folder; the number of folders deleted, of those that neither an open transaction nor a reader of the last retain_seconds may need."""
         if self.store is None or self.txn:
             raise TxnError("compaction needs a path, and no open transaction")
         self.begin()
-        for name, t in self.txn.state.tables.items():
-            if len(t.folders) > 1:
-                t.folders = [self._write(t, self.store.read(t))]
-                self.txn.changed.add(name)
+        try:
+            for name, t in self.txn.state.tables.items():
+                if len(t.folders) > 1:
+                    t.folders = [self._write(t, self.store.read(t))]
+                    self.txn.changed.add(name)
+        except BaseException:
+            self.rollback()
+            raise
         self.commit()
-        return self.store.vacuum(self.store.current())
+        return self.store.vacuum(retain_seconds)
 
     def dump_sql(self) -> str:
         """A script that makes the tables anew. Rows pass the driver one by one: for small tables."""
