@@ -1,7 +1,8 @@
 """Operator 1: shards from a k-d tree over metadata, with law `bytes`.
 
-The points of the tree are groups of equal texts, weighted by their bytes, so copies share a shard. A group of more
-than 1/SPLIT of a shard, in bytes or rows, is cut by chance into points below that, or no cut could be near a median.
+The points of the tree are groups of equal texts, weighted by their bytes, so copies share a shard. Only a group of more
+than 1/WHOLE of a shard's bytes is cut, by the hash of its ids, into points of 1/SPLIT of a shard, or no cut could be
+near a median.
 Each node is cut along the dimension in which it is widest, at the weighted quantile that gives both sides the bytes
 of their leaves. The quantile is found by distributed histograms over a 63-bit key (coordinate, then a hash of the
 point): each pass sums the weights of bins of the range that still holds it, for all nodes of a level at once, until
@@ -23,11 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import checkpoint, text_of
+from quernel.llm.common import checkpoint, small, text_of
 
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
-#: A point has at most this part of a shard, and a cut is this near to its quantile.
+#: A cut is this near to its quantile, in shards, and a group that is cut has points of this size.
 SPLIT = 400
+#: Copies of up to this part of a shard stay together.
+WHOLE = 20
+#: Groups of more than 1/HEAVY of all rows find their shard by broadcast: of those there are at most HEAVY.
+HEAVY = 10_000
 COORDINATE_BITS, HASH_BITS = 31, 32
 #: Bins that one pass may send to the driver.
 BINS = 1 << 17
@@ -107,12 +112,12 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     coords = _coordinates(slim, dims)
 
     same_text = ["text", "crc", "size"]
-    limit, row_limit = max(1, total // (shards * SPLIT)), max(1, rows // (shards * SPLIT))
-    sizes = slim.groupBy(*same_text).agg(F.sum("size").alias("w"), F.count("*").alias("n")).where((F.col("w") > limit) & (F.col("n") > 1) | (F.col("n") > row_limit))
-    parts = F.greatest(F.ceil(F.col("w") / limit), F.ceil(F.col("n") / row_limit)).cast("int")
-    hot = F.broadcast(checkpoint(sizes.where("n > 1").select(*same_text, parts.alias("parts"))))  # at most 2 * shards * SPLIT rows
-    slim = slim.join(hot, same_text, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    keys = [*same_text, "part"]
+    groups = checkpoint(slim.groupBy(*same_text).agg(F.sum("size").alias("w"), F.count("*").alias("n")).where(f"n > 1 and (w * {shards * WHOLE} > {total} or n * {HEAVY} > {rows})"))
+    parts = F.when(F.col("w") * shards * WHOLE > total, F.ceil(F.col("w") * (shards * SPLIT / max(1, total)))).otherwise(1).cast("int")
+    hot = small(groups.select(*same_text, parts.alias("parts"), (F.col("n") * HEAVY > rows).alias("heavy")))  # at most HEAVY + shards * WHOLE rows
+    of_row = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.col("row").cast("string")))
+    slim = slim.join(hot, same_text, "left").withColumn("part", F.coalesce(F.pmod(of_row, F.col("parts")), F.lit(0)).cast("int")).withColumn("heavy", F.coalesce("heavy", F.lit(False))).drop("parts")
+    keys = [*same_text, "heavy", "part"]
 
     low = F.xxhash64("text", "part").bitwiseAND((1 << HASH_BITS) - 1)
     points = slim.groupBy(*keys).agg(F.sum("size").alias("weight"), F.array(*[F.min(coords[d]) for d in dims], F.min(low)).alias("coords"))
@@ -129,7 +134,10 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
             points = checkpoint(points.join(table, "node", "left").select(*keys, "weight", "coords", "hash", F.when(beyond, F.col("right")).otherwise(F.col("node")).alias("node")))
         nodes = reduce(lambda a, b: a | b, [{n: 1} if k == 1 else {n: k // 2, n + k // 2: k - k // 2} for n, k in nodes.items()])
 
-    placed = checkpoint(slim.join(points.select(*keys, F.col("node").alias("shard")), keys).select("_id", "row", "size", "crc", "shard"))
+    found = points.select(*keys, F.col("node").alias("shard"))
+    near = small(checkpoint(found.where("heavy")))  # the parts of at most HEAVY groups, which are less than HEAVY + shards * SPLIT
+    joined = [slim.where("heavy").join(near, keys), slim.where("not heavy").join(found.where("not heavy"), keys)]
+    placed = checkpoint(joined[0].union(joined[1]).select("_id", "row", "size", "crc", "shard"))
     bucket = F.pmod(F.xxhash64("row"), F.lit(max(1, rows // (shards * SLOT_ROWS) * 2))).alias("bucket")
     counts = placed.groupBy("shard", bucket).agg(F.count("*").alias("n"))
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
