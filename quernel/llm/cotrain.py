@@ -48,7 +48,7 @@ def text_features(text: bytes) -> np.ndarray:
     for start in range(0, len(text), 1 << 22):
         kinds += np.bincount(BYTE_KIND[np.frombuffer(text, np.uint8, min(1 << 22, len(text) - start), start)], minlength=N_KINDS)
     out[HASHED : HASHED + N_KINDS] = np.sqrt(kinds / len(text))
-    words = word_hashes(text)
+    words = word_hashes(text)[0]
     if n := len(words):
         counts = np.sqrt(np.bincount((words % np.uint64(HASHED)).astype(np.int64), minlength=HASHED))
         out[:HASHED] = counts / np.sqrt(n)

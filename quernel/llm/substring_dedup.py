@@ -11,10 +11,11 @@ repeated windows grow together into maximal repeats. No pairs are built: equal k
 settles what repeats within its own batch and hands on one row of it, and the sorted rows are read as a stream of which
 two rows are held, so one anchor in a third of all texts is no unbounded group.
 
-Two hashes of 64 bits each (of the anchor and of the context) must agree before words are removed.
+Two hashes of 64 bits each must agree before words are removed: a sum of powers for the anchor, and for the context a
+hash by doubling, over another hash of the words.
 
 Defined results: a null or empty text has no words. Words are judged on the input, not on what is left; a repeated row
-counts as another place. Rows that share an id and a text are treated alike. An empty table gives an empty result.
+counts as another place. Rows are told apart by 88 bits of their id and text; those that share both are treated alike. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -26,20 +27,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_intdigest
 
 from quernel.llm.common import BROADCAST_ROWS, checkpoint, map_arrow, mixed, text_of
 
 WINDOW = 35
 #: Bytes that are cut into words in one step, to the next separator.
 PIECE = 1 << 22
-#: Bits of the hash that tells apart texts of one id, of a run's length and of its first word's place.
+#: Bits of a second hash of the text, which with the first tells rows apart, of a run's length and of its first word's place.
 TEXT_BITS, RUN_BITS, PLACE_BITS = 24, 8, 31
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 
 
-BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+#: Odd factors of the two hashes, and the bytes beyond which a word is hashed by itself.
+FACTORS, LONG = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)), 64
 
 
 class _Powers:
@@ -57,7 +60,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-OF_BYTES, OF_WORDS = _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F)
+OF_WORDS = _Powers(0xA0761D6478BD642F)
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +69,25 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def _hashed(piece: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the words between begin and stop: chains over eight bytes at a time, or XXH3 of a long word."""
+    eights = np.ndarray(len(piece) + 1, "<u8", piece + bytes(8), strides=(1,))  # the eight bytes from each place on
+    sizes = stop - begin
+    a, b = (mixed(sizes.astype(U) * f) for f in FACTORS)
+    for at in range(0, min(LONG, int(sizes.max())), 8):
+        live = np.flatnonzero(sizes > at)
+        left = np.minimum(sizes[live] - at, 8).astype(U)
+        value = eights[begin[live] + at] & (U(2**64 - 1) >> (U(64) - left * U(8)))
+        a[live] = mixed((a[live] ^ value) * FACTORS[0])
+        b[live] = mixed(b[live] + value * FACTORS[1])
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        whole = xxh3_128_intdigest(piece[begin[i] : stop[i]])
+        a[i], b[i] = whole >> 64, whole & (2**64 - 1)
+    return a, b
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of each word."""
     out, start = [], 0
     while start < len(text):
         end = start + PIECE
@@ -77,19 +97,13 @@ def word_hashes(text: bytes) -> np.ndarray:
         piece = text[start:end]
         start = end
         begin, stop = word_spans(piece)
-        if not len(begin):
-            continue
-        sizes = stop - begin
-        where = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        inside = where - np.repeat(begin, sizes)
-        up, _ = OF_BYTES.to(int(sizes.max()))
-        values = BYTE[np.frombuffer(piece, np.uint8)[where]] * up[inside]
-        out.append(mixed(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(U)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+        if len(begin):
+            out.append(_hashed(piece, begin, stop))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U), np.zeros(0, U))
 
 
-class _Hashed:
-    """Hashes of all runs of words of one text."""
+class _Sums:
+    """Hashes of all runs of words of one text, as sums of powers."""
 
     def __init__(self, words: np.ndarray):
         up, self.down = OF_WORDS.to(len(words) + 1)
@@ -99,18 +113,42 @@ class _Hashed:
         return mixed((self.sums[first + size] - self.sums[first]) * self.down[first])
 
 
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
+class _Doubled:
+    """Hashes of all runs of at most `most` words, by doubling: of 2**j words from both halves, of others from the two such runs that cover them."""
+
+    def __init__(self, words: np.ndarray, most: int):
+        self.levels, size = [words], 1
+        while 2 * size <= min(most, len(words)):
+            x = self.levels[-1]
+            self.levels.append(self._both(x[:-size], x[size:]))
+            size *= 2
+
+    @staticmethod
+    def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed(a * FACTORS[0] + mixed(b + FACTORS[1]))
+
+    def of(self, first: np.ndarray, size) -> np.ndarray:
+        size = np.broadcast_to(np.asarray(size, np.int64), first.shape)
+        level = np.frexp(size)[1] - 1
+        out = np.empty(len(first), U)
+        for j in np.unique(level).tolist():
+            i = level == j
+            out[i] = self._both(self.levels[j][first[i]], self.levels[j][first[i] + size[i] - (1 << j)]) ^ mixed(size[i].astype(U))
+        return out
+
+
+def anchors(both: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, ...] | None:
     """Of each run of windows that share an anchor: its first window, its length, the anchor's hash, the context's hash."""
+    words, others = both
     n = len(words) - window + 1
     if n < 1:
         return None
     k = max(1, window // 2)
-    hashed = _Hashed(words)
-    grams = hashed.of(np.arange(len(words) - k + 1), k)
+    grams = _Sums(words).of(np.arange(len(words) - k + 1), k)
     at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, window - k + 1).argmin(axis=1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     size = np.diff(np.r_[first, n])
-    context = hashed.of(first, size + (window - 1)) ^ mixed(((at[first] - first) * 1024 + size).astype(U))
+    context = _Doubled(others, 2 * window).of(first, size + (window - 1)) ^ mixed(((at[first] - first) * 1024 + size).astype(U))
     return first, size, grams[at[first]], context
 
 
@@ -127,7 +165,7 @@ def _same(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settled(parts: list[tuple], ids) -> Iterator:
+def _settled(parts: list[tuple], rows: np.ndarray) -> Iterator:
     """A batch with what repeats within it marked: twice says that a run was found again, dealt where its row goes.
 
     Of rows of equal key and context one goes on under its key; all are given out as repeated, dealt out by chance.
@@ -144,19 +182,18 @@ def _settled(parts: list[tuple], ids) -> Iterator:
     settled = np.flatnonzero(twice)
     yield pa.RecordBatch.from_arrays(
         [
-            ids.take(pa.array(np.r_[row[on], row[settled]])),
+            pa.array(rows[np.r_[row[on], row[settled]]]),
             pa.array(np.r_[found(key, on), mixed(place[settled].astype(U) + row[settled].astype(U)).view(np.int64)]),
             pa.array(np.r_[found(context, on), np.zeros(len(settled), np.int64)]),
             pa.array(np.r_[place[on], place[settled]]),
             pa.array(np.r_[np.where(twice[on], 1, 0), np.full(len(settled), 2)].astype(np.int8)),
         ],
-        ["id", "key", "context", "place", "state"],
+        ["row", "key", "context", "place", "state"],
     )
 
 
 #: state: 0 a run, 1 a run whose task has given it out as repeated, 2 a run that is given out as repeated.
-def _runs(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("context", T.LongType()), T.StructField("place", T.LongType()), T.StructField("state", T.ByteType())])
+RUNS = "row long, key long, context long, place long, state byte"
 
 
 def _seeded(window: int):
@@ -170,7 +207,7 @@ def _seeded(window: int):
                     first, size, key, context = found
                     parts.append((np.full(len(first), i), key, context, _packed(tags[i], first, size)))
             if parts:
-                yield from _settled(parts, batch.column("id"))
+                yield from _settled(parts, batch.column("row").to_numpy(zero_copy_only=False))
 
     return run
 
@@ -187,10 +224,10 @@ def _extended(window: int):
                 size, first = at & ((1 << RUN_BITS) - 1), at >> RUN_BITS & ((1 << PLACE_BITS) - 1)
                 step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 start = np.repeat(first, size) + step
-                context = _Hashed(word_hashes(texts[i].as_py())).of(start, window)
+                context = _Doubled(word_hashes(texts[i].as_py())[1], window).of(start, window)
                 parts.append((np.full(len(start), i), np.repeat(key, size).view(U), context, _packed(np.repeat(at >> (RUN_BITS + PLACE_BITS), size), start, np.ones(len(start), np.int64))))
             if parts:
-                yield from _settled(parts, batch.column("id"))
+                yield from _settled(parts, batch.column("row").to_numpy(zero_copy_only=False))
 
     return run
 
@@ -238,7 +275,7 @@ def _met(ends: bool):
             rows_out = np.concatenate([*out_ids, opened])
             if len(rows_out):
                 taken = rows.take(pa.array(rows_out))
-                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("key"), taken.column("place"), pa.array(np.r_[np.zeros(len(rows_out) - len(opened), bool), np.ones(len(opened), bool)])], ["id", "key", "place", "open"])
+                yield pa.RecordBatch.from_arrays([taken.column("row"), taken.column("key"), taken.column("place"), pa.array(np.r_[np.zeros(len(rows_out) - len(opened), bool), np.ones(len(opened), bool)])], ["row", "key", "place", "open"])
 
         for batch in batches:
             if batch.num_rows:
@@ -253,14 +290,13 @@ def _met(ends: bool):
 def _meet(runs: DataFrame, ends: bool) -> DataFrame:
     """Rows of equal keys and contexts meet by sorting; for ends, all contexts of a key do."""
     dealt = runs.repartition(*["key", "context"][: 1 if ends else 2]).sortWithinPartitions("key", "context")
-    schema = T.StructType([runs.schema["id"], runs.schema["key"], runs.schema["place"], T.StructField("open", T.BooleanType())])
-    return map_arrow(dealt, _met(ends), schema)
+    return map_arrow(dealt, _met(ends), "row long, key long, place long, open boolean")
 
 
 def _by_text(runs: DataFrame, *lists: str) -> DataFrame:
     """Rows of one text together; a text's runs are fewer than its words."""
     tag = F.shiftright("place", RUN_BITS + PLACE_BITS).alias("_tag")
-    return runs.groupBy(F.col("id").alias("_id"), tag).agg(F.collect_list("place").alias("places"), *[F.collect_list(c).alias(c + "s") for c in lists])
+    return runs.groupBy(F.col("row").alias("_row"), tag).agg(F.collect_list("place").alias("places"), *[F.collect_list(c).alias(c + "s") for c in lists])
 
 
 def _removed(window: int):
@@ -296,20 +332,21 @@ def _removed(window: int):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id_col, n_words, n_removed and text, the words that are kept, joined by a space, for each row of docs."""
     text = text_of(text_col)
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).bitwiseAND((1 << TEXT_BITS) - 1).alias("tag"), text.cast("binary").alias("text"))
+    tag = F.crc32(text.cast("binary")).bitwiseAND((1 << TEXT_BITS) - 1)
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), tag.alias("tag"), text.cast("binary").alias("text"))
     kind = own.schema["id"].dataType
-    met = checkpoint(_meet(map_arrow(own, _seeded(window), _runs(kind)), True))
+    met = checkpoint(_meet(map_arrow(own, _seeded(window), RUNS), True))
 
     opened = met.where("open")
     few = opened.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # runs, not texts: a text's list has no other bound
     ends = _by_text(opened, "key")
     ends = F.broadcast(ends) if few else ends.hint("shuffle_hash")
-    at = own["id"].eqNullSafe(ends["_id"]) & (own["tag"] == ends["_tag"])
-    windows = map_arrow(own.join(ends, at).select("id", "text", "places", "keys"), _extended(window), _runs(kind))
+    at = (own["row"] == ends["_row"]) & (own["tag"] == ends["_tag"])
+    windows = map_arrow(own.join(ends, at).select("row", "text", "places", "keys"), _extended(window), RUNS)
     more = _meet(windows, False)
 
-    found = _by_text(met.where("not open").select("id", "place").union(more.select("id", "place"))).hint("shuffle_hash")
-    at = own["id"].eqNullSafe(found["_id"]) & (own["tag"] == found["_tag"])
+    found = _by_text(met.where("not open").select("row", "place").union(more.select("row", "place"))).hint("shuffle_hash")
+    at = (own["row"] == found["_row"]) & (own["tag"] == found["_tag"])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
     out = map_arrow(own.join(found, at, "left").select("id", "text", "places"), _removed(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))

@@ -124,3 +124,20 @@ def test_similar_texts_over_lanes(spark):
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), lanes=3).collect()}
     assert all(c // 10 == i // 10 for i, c in got.items())
     assert sum(c == i // 10 * 10 for i, c in got.items()) >= 114
+
+
+def test_repeats_verify_words(spark):
+    """Words and word sequences that a sum of powers modulo 2**64 can't tell apart."""
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in thue) for flip in (0, 1))
+    own = [f"w{i}" for i in range(35)]
+    texts = [" ".join([*own[:17], x, *own[18:]]) for x in (a, b)] + [" ".join("xy"[x ^ flip] for x in thue[:1024]) for flip in (0, 1)] + ["x" * 70 + " " + "y" * 100_000, "z " + "x" * 64]
+    for window in (35, 1):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=window).collect()
+        assert sorted(tuple(r) for r in got) == [(i, *w) for i, w in enumerate(brute.without_repeats(texts, window))]
+
+
+def test_repeats_of_many_null_ids(spark):
+    texts = [" ".join(f"{'r' if i < 12_000 else 'u'}{i // 2 if i < 12_000 else i}.{k}" for k in range(36)) for i in range(20_000)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).groupBy("n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(36, 12_000), (0, 8_000)}

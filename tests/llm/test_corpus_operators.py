@@ -39,6 +39,13 @@ def test_shards(spark, hard):
     sizes = checked_shards(queries.op1_kd_shards(spark, "/root/testdata/sf0.01").collect(), texts, 16)
     largest = max(len((t or "").encode()) for _, t in texts)
     mean = sum(sizes.values()) / 16
+    of = defaultdict(set)
+    shards = {r["doc_id"]: r["shard"] for r in queries.op1_kd_shards(spark, "/root/testdata/sf0.01").select("doc_id", "shard").collect()}
+    weight = Counter()
+    for i, t in texts:
+        of[t or ""].add(shards[i])
+        weight[t or ""] += len((t or "").encode()) + 1
+    assert all(len(of[t]) == 1 for t in of if weight[t] <= mean / kd_shards.WHOLE)  # copies share a shard
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= max(0.1 * mean, 2 * largest)
     for n in (1, 3):
         checked_shards(kd_shards.kd_shards(hard, n_shards=n).collect(), ROWS, n)
