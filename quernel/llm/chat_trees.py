@@ -11,7 +11,7 @@ gets one backslash more, so no text holds a mark, and taking one away gives the
 Defined results: a null text or role is the empty string, a null score 0. A tree id may be null. A message whose parent
 is missing, or null, is a root. Messages on a cycle are reached from no root and belong to no path. Rows of linear
 conversations that share a turn are ordered by role and text; repeated rows are turns of their own. Repeated message
-ids are not allowed in reply trees: linear() numbers rows itself. An empty table gives an empty result; extra columns
+ids of one tree are refused with a ValueError (null ids too, unless alone); linear() numbers rows itself. An empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -86,11 +86,14 @@ def paths(messages: DataFrame) -> DataFrame:
     return steps, own
 
 
-def format_trees(messages: DataFrame, best: int | None = None, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_trees(messages: DataFrame, best: int | None = None, trained: tuple[str, ...] = ("assistant",), unique: bool = False) -> DataFrame:
     """tree, rank, leaf, score, n_turns, formatted and spans (start and size, in code points, of what the loss is on).
 
-    messages: tree, id, parent, role, text, score. best: branches that are chosen of each tree; None: all.
+    messages: tree, id, parent, role, text, score. best: branches that are chosen of each tree; None: all. unique: ids
+    are known not to repeat, as those of linear() are.
     """
+    if not unique and messages.groupBy("tree", "id").count().where("count > 1").limit(1).count():
+        raise ValueError("a message id repeats in its tree")
     steps, own = paths(messages)
     s = steps.select(F.col("tree").alias("st"), "leaf", "depth", F.col("head").alias("sh"))
     on = own.join(s, own["tree"].eqNullSafe(s["st"]) & (own["head"] == s["sh"])).select("tree", "leaf", "id", "depth", "place")

@@ -29,7 +29,7 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(literal_rows(spark, [(-1, 0, "user", ok), (-1, 1, "assistant", ok)], conv_id="bigint", turn="bigint", role="string", text="string"))
-    out = chat_trees.format_trees(chat_trees.linear(rows))
+    out = chat_trees.format_trees(chat_trees.linear(rows), unique=True)
     turns, loss = chat_trees.read_turns(F.col("formatted")), chat_trees.read_loss(F.col("formatted"), F.col("spans"))
     out = out.select("tree", "formatted", turns.alias("turns"), loss.alias("loss"))
     line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

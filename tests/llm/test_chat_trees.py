@@ -1,5 +1,6 @@
 """Reply trees against a plain version, and the template's round trip."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernel.llm import chat_trees
@@ -29,3 +30,9 @@ def test_long_runs(spark):
     for r in rows.orderBy("conv_id", "turn", "role", "text").collect():
         want.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     assert {r["tree"]: [tuple(t) for t in r["t"]] for r in out} == want
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([("t", 1, None, "user", "a", 0.0), ("t", 2, 1, "user", "b", 0.0), ("t", 2, 1, "user", "c", 0.0)], "tree string, id long, parent long, role string, text string, score double")
+    with pytest.raises(ValueError):
+        chat_trees.format_trees(df)
