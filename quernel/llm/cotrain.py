@@ -1,15 +1,18 @@
 """Operator 2: a quality classifier by co-training.
 
 Two views of a document are judged by classifiers of their own: its text (hashed words and shares of kinds of bytes)
-and its page's metadata (language, source, length). Over some rounds each gives the pool documents of which it is surest
-to the other as pseudo-labels. Both are then calibrated on held-out labels, and their calibrated scores are combined.
+and its page's metadata (language, source, length). In each round both score all unlabelled documents, and each gives
+those of which it is surest to the other as pseudo-labels. Both are then calibrated on held-out labels, and their
+calibrated scores are combined.
 
-Bounds: fitting uses at most `labelled` labelled rows and a pool of `pool` unlabelled rows, chosen by the hash of the
-id; both are parameters. Scoring covers all rows and whole texts, and needs no shuffle.
+Bounds: fitting uses at most `labelled` labelled documents, chosen by the hash of the id (labels beyond count as none),
+and `exchanged` pseudo-labels a view and round; both are parameters. Scoring, of pseudo-labels too, covers all rows and
+whole texts.
 
 Defined results: a null text is empty, null metadata is a value of its own. Several labels of one id are averaged, null
-labels ignored; without labels of both classes every score is 0.5. Labels of unknown ids are ignored. Every input row
-has one output row. Empty tables give empty results; extra columns are ignored.
+labels ignored; of rows that share a labelled id the one with the least features is fitted on; rows of equal id and text
+are one pseudo-label. Without labels of both classes every score is 0.5. Labels of unknown ids are ignored and use up no
+bound. Every input row has one output row. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import map_arrow, text_of
+from quernel.llm.common import checkpoint, map_arrow, text_of
 from quernel.llm.substring_dedup import SEPARATOR, word_hashes
 
-LABELLED, POOL, ROUNDS = 4000, 4000, 5
+LABELLED, EXCHANGED, ROUNDS = 4000, 400, 5
+#: A view is sure of a document whose score, a logit, is beyond this.
+SURE = 2
+#: Tasks over which the candidates of one view and class are first ranked.
+SALTS = 64
 HASHED = 512
 #: Kinds of bytes: lower case, upper case, digits, separators, line ends, other ASCII by its six bits, the rest.
 BYTE_KIND = np.full(256, 5, np.int64)
@@ -84,34 +91,30 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np
     return w
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray] | None:
-    """The weights of both views and of their calibration and combination. label: 0, 1, or nan for the pool."""
-    known = np.flatnonzero(~np.isnan(label))
-    held, own = known[::4], np.setdiff1d(known, known[::4])
+def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, surest=None, rounds: int = ROUNDS) -> dict[str, np.ndarray] | None:
+    """The weights of both views and of their calibration and combination. label: 0 or 1.
+
+    surest(weights, share) gives (view, value, text features, meta features) of documents that weren't given before and of
+    which a view is surest, where share is that of good labels.
+    """
+    held = np.arange(len(label))[::4]
+    own = np.setdiff1d(np.arange(len(label)), held)
     if any(len(np.unique(label[part])) < 2 for part in (held, own)):
         return None
     views = {"text": text, "meta": meta}
-    given = {v: {int(i): label[i] for i in own} for v in views}
-    pool = set(np.flatnonzero(np.isnan(label)).tolist())
+    given = {v: (list(x[own]), list(label[own])) for v, x in views.items()}
     share = label[own].mean()
     weights = {}
     for k in range(rounds + 1):
-        for v, x in views.items():
-            rows = np.array(list(given[v]))
-            weights[v] = fit(x[rows], np.array(list(given[v].values())))
-        if k == rounds or not pool:
+        for v, (x, y) in given.items():
+            weights[v] = fit(np.array(x), np.array(y))
+        found = surest(weights, share) if surest and k < rounds else []
+        if not found:
             break
-        rows = np.array(sorted(pool))
-        n = max(2, len(rows) // 10)
-        for v, other in (("text", "meta"), ("meta", "text")):
-            score = views[v][rows] @ weights[v]
-            order = np.argsort(score, kind="stable")
-            good, bad = max(1, round(n * share)), max(1, round(n * (1 - share)))
-            for at, value in ((order[-good:], 1.0), (order[:bad], 0.0)):
-                for i in at:  # those of which this view is sure
-                    if (score[i] > 2) if value else (score[i] < -2):
-                        given[other].setdefault(int(rows[i]), value)
-                        pool.discard(int(rows[i]))
+        for v, value, *features in found:
+            other = "meta" if v == "text" else "text"
+            given[other][0].append(features[list(views).index(other)])
+            given[other][1].append(value)
     scores = np.stack([views[v][held] @ weights[v] for v in views], axis=1)
     for i, v in enumerate(views):  # one held-out part calibrates, with the classes as frequent as they are
         weights[f"{v}_curve"] = _curve(scores[::2, i : i + 1], label[held[::2]])
@@ -150,27 +153,70 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"), of("lang", "string"), of("source", "string"), of("n_chars", "double"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, labelled: int, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of the bounded sample, in the order of ids."""
+def _sample(slim: DataFrame, labels: DataFrame, label_col: str, id_col: str, labelled: int) -> DataFrame:
+    """id and label of at most `labelled` labelled documents."""
     mean = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
-    chosen = F.broadcast(mean.orderBy(F.xxhash64("id"), "id").limit(labelled))  # a bounded number of rows
-    slim = _slim(docs, id_col, text_col)
-    ids = slim.select("id").where("id is not null").join(labels.select(F.col(id_col).alias("id")), "id", "left_anti").distinct()
-    others = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(pool))
+    return checkpoint(mean.join(slim.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(labelled))
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """key and x, the least features, of each key of rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                text, meta = _features(batch)
-                rows = [np.concatenate(x).astype(np.float32).tobytes() for x in zip(text, meta, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(rows, pa.binary())], ["id", "label", "x"])
-
-    both = slim.join(chosen, "id").unionByName(slim.join(others, "id").withColumn("label", F.lit(float("nan"))))
-    rows = map_arrow(both.dropDuplicates(["id"]), run, "id string, label double, x binary").orderBy("id").collect()  # at most labelled + pool
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, TEXT_SIZE + META_SIZE), np.float32)
-    return x[:, :TEXT_SIZE], x[:, TEXT_SIZE:], np.array([r["label"] for r in rows], float)
+                features = [np.concatenate(x).astype(np.float32).tobytes() for x in zip(*_features(batch), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(features, pa.binary())], ["key", "x"])
+
+    schema = T.StructType([rows.schema["key"], T.StructField("x", T.BinaryType())])
+    return map_arrow(rows.select("key", "text", "lang", "source", "n_chars"), run, schema).groupBy("key").agg(F.min("x").alias("x"))
+
+
+def _split(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(x, np.float32)
+    return both[:TEXT_SIZE], both[TEXT_SIZE:]
+
+
+def _surest(others: DataFrame, exchanged: int):
+    """The function that cotrain() asks, over all rows of others, which have a key."""
+    taken: set[int] = set()
+
+    def ask(weights: dict, share: float) -> list[tuple]:
+        views, known = [weights["text"], weights["meta"]], np.array(sorted(taken), np.int64)
+        most = [max(1, round(exchanged * (1 - share))), max(1, round(exchanged * share))]  # of bad and of good ones
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    key, first = np.unique(part.column("key").to_numpy(zero_copy_only=False), return_index=True)
+                    part = part.take(pa.array(first[~np.isin(key, known)]))
+                    if not part.num_rows:
+                        continue
+                    key = part.column("key").to_numpy(zero_copy_only=False)
+                    score = np.stack([x @ w for x, w in zip(_features(part), views, strict=True)])
+                    view, at = np.nonzero(np.abs(score) > SURE)
+                    strength = score[view, at]
+                    yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array((strength > 0).astype(np.int32)), pa.array(np.abs(strength)), pa.array(key[at])], ["view", "value", "strength", "key"])
+
+        candidates = map_arrow(others.select("key", "text", "lang", "source", "n_chars"), run, "view int, value int, strength double, key long")
+        bound = F.when(F.col("value") == 1, most[1]).otherwise(most[0])
+        # a key is in one salt alone; the surest of all are among the surest of each salt
+        candidates = candidates.groupBy("view", "value", "key", F.pmod("key", F.lit(SALTS)).alias("salt")).agg(F.max("strength").alias("strength"))
+        for group in (["view", "value", "salt"], ["view", "value"]):
+            rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("strength"), "key"))
+            candidates = candidates.withColumn("rank", rank).where(F.col("rank") <= max(most)).where(F.col("rank") <= bound)
+        chosen = checkpoint(candidates.select("view", "value", "key"))  # at most 4 * exchanged rows
+        keys = F.broadcast(chosen.select("key").distinct())
+        rows = {r["key"]: _split(r["x"]) for r in _featured(others.join(keys, "key", "left_semi")).collect()}
+        taken.update(rows)
+        return [(("text", "meta")[r["view"]], float(r["value"]), *rows[r["key"]]) for r in chosen.orderBy("view", "value", "key").collect()]
+
+    return ask
 
 
 def score(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,6 +236,14 @@ def score(docs: DataFrame, weights: dict | None, id_col: str = "doc_id", text_co
     return map_arrow(slim, run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
-def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
-    """Fit on a bounded sample and score all rows of docs."""
-    return score(docs, cotrain(*sample(docs, labels, label_col, id_col, text_col, labelled, pool), rounds), id_col, text_col)
+def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> DataFrame:
+    """Fit on a bounded sample of labels and on pseudo-labels of all other rows, and score all rows of docs."""
+    slim = _slim(docs, id_col, text_col)
+    chosen = F.broadcast(_sample(slim, labels, label_col, id_col, labelled))  # at most labelled rows
+    known = _featured(slim.join(chosen, "id").withColumn("key", F.struct("id", "label"))).select("key.id", "key.label", "x").orderBy(F.xxhash64("id"), "id").collect()
+    weights = None
+    if known:
+        text, meta = (np.stack(x) for x in zip(*[_split(r["x"]) for r in known], strict=True))
+        others = slim.join(chosen, "id", "left_anti").withColumn("key", F.xxhash64("id", "text"))
+        weights = cotrain(text, meta, np.array([r["label"] for r in known]), _surest(others, exchanged), rounds)
+    return score(docs, weights, id_col, text_col)
