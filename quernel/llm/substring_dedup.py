@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from quernel.llm.common import BROADCAST_ROWS, checkpoint, map_arrow, mixed, text_of
+from quernel.llm.common import checkpoint, map_arrow, mixed, text_of
 
 WINDOW = 35
 #: Bytes that are cut into words in one step, to the next separator.
@@ -337,12 +337,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = own.schema["id"].dataType
     met = checkpoint(_meet(map_arrow(own, _seeded(window), RUNS), True))
 
-    opened = met.where("open")
-    few = opened.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # runs, not texts: a text's list has no other bound
-    ends = _by_text(opened, "key")
-    ends = F.broadcast(ends) if few else ends.hint("shuffle_hash")
+    # both joins take the same columns of own, so that its texts are dealt out once and read twice
+    ends = _by_text(met.where("open"), "key").hint("shuffle_hash")
     at = (own["row"] == ends["_row"]) & (own["tag"] == ends["_tag"])
-    windows = map_arrow(own.join(ends, at).select("row", "text", "places", "keys"), _extended(window), RUNS)
+    windows = map_arrow(own.join(ends, at).select("id", "row", "text", "places", "keys"), _extended(window), RUNS)
     more = _meet(windows, False)
 
     found = _by_text(met.where("not open").select("row", "place").union(more.select("row", "place"))).hint("shuffle_hash")
