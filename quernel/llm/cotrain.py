@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.common import checkpoint, map_arrow, text_of
-from quernel.llm.substring_dedup import SEPARATOR, word_hashes
+from quernel.llm.substring_dedup import SEPARATOR, hashed, word_hashes, word_spans
 
 LABELLED, EXCHANGED, ROUNDS = 4000, 400, 5
 #: A view is sure of a document whose score, a logit, is beyond this.
@@ -33,6 +33,8 @@ SURE = 2
 #: Tasks over which the candidates of one view and class are first ranked.
 SALTS = 64
 HASHED = 512
+#: Bytes of texts whose words are hashed in one step.
+GROUP = 1 << 19
 #: Kinds of bytes: lower case, upper case, digits, separators, line ends, other ASCII by its six bits, the rest.
 BYTE_KIND = np.full(256, 5, np.int64)
 BYTE_KIND[ord("a") : ord("z") + 1], BYTE_KIND[ord("A") : ord("Z") + 1], BYTE_KIND[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -47,23 +49,55 @@ META_SIZE = 128
 
 
 def text_features(text: bytes) -> np.ndarray:
-    out = np.zeros(TEXT_SIZE, np.float32)
-    out[-1] = 1
-    if not text:
-        return out
-    kinds = np.zeros(N_KINDS)
-    for start in range(0, len(text), 1 << 22):
-        kinds += np.bincount(BYTE_KIND[np.frombuffer(text, np.uint8, min(1 << 22, len(text) - start), start)], minlength=N_KINDS)
-    out[HASHED : HASHED + N_KINDS] = np.sqrt(kinds / len(text))
-    words = word_hashes(text)[0]
-    if n := len(words):
-        counts = np.sqrt(np.bincount((words % np.uint64(HASHED)).astype(np.int64), minlength=HASHED))
-        out[:HASHED] = counts / np.sqrt(n)
-        again = words[1:] == words[:-1]
-        out[-5:-1] = len(np.unique(words)) / n, np.log1p(n) / 10, again.mean() if n > 1 else 0, min(1, len(text) / n / 20)
+    return texts_features([text])[0]
+
+
+def texts_features(texts: list[bytes]) -> np.ndarray:
+    """A row of features for each text; texts are read in groups of up to GROUP bytes, a longer one by itself."""
+    out = np.zeros((len(texts), TEXT_SIZE), np.float32)
+    out[:, -1] = 1
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > GROUP:
+            _group_features(texts[start:i], out[start:i])
+            start, size = i, 0
+        size += len(text) + 1
+    if texts:
+        _group_features(texts[start:], out[start:])
     return out
 
 
+def _group_features(texts: list[bytes], out: np.ndarray) -> None:
+    """Fill out, which holds only the constant."""
+    sizes = np.array([len(t) for t in texts])
+    for i, text in enumerate(texts):
+        kinds = np.zeros(N_KINDS)
+        for start in range(0, len(text), 1 << 22):
+            kinds += np.bincount(BYTE_KIND[np.frombuffer(text, np.uint8, min(1 << 22, len(text) - start), start)], minlength=N_KINDS)
+        out[i, HASHED : HASHED + N_KINDS] = np.sqrt(kinds / max(1, len(text)))
+    if len(texts) == 1:
+        words = word_hashes(texts[0], 1)[0]
+        n = np.array([len(words)])
+    else:
+        joined = b" ".join(texts)
+        begin, stop = word_spans(joined)
+        edge = np.searchsorted(begin, np.r_[0, np.cumsum(sizes + 1)])
+        words = hashed(joined, begin, stop, 1)[0] if len(begin) else np.zeros(0, np.uint64)
+        n = np.diff(edge)
+    if not len(words):
+        return
+    of = np.repeat(np.arange(len(texts)), n)
+    counts = np.bincount(of * HASHED + (words % np.uint64(HASHED)).astype(np.int64), minlength=len(texts) * HASHED)
+    some = np.maximum(n, 1)
+    out[:, :HASHED] = np.sqrt(counts.reshape(-1, HASHED)) / np.sqrt(some)[:, None]
+    equal = lambda: np.bincount(of[1:][(words[1:] == words[:-1]) & (of[1:] == of[:-1])], minlength=len(texts))
+    again = equal()
+    end = np.cumsum(n)
+    for a, b in zip((end - n).tolist(), end.tolist(), strict=True):
+        words[a:b].sort()
+    out[:, -5:-1] = np.stack([(n - equal()) / some, np.log1p(n) / 10, again / np.maximum(n - 1, 1), np.where(n > 0, np.minimum(1, sizes / some / 20), 0)], axis=1)
+
+
 def meta_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -143,7 +177,7 @@ def _scores(weights: dict | None, text: np.ndarray, meta: np.ndarray) -> tuple[n
 
 
 def _features(batch) -> tuple[np.ndarray, np.ndarray]:
-    text = np.stack([text_features(t) for t in batch.column("text").to_pylist()])
+    text = texts_features(batch.column("text").to_pylist())
     meta = np.stack([meta_features(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)])
     return text, meta
 

@@ -69,25 +69,27 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _hashed(piece: bytes, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of the words between begin and stop: chains over eight bytes at a time, or XXH3 of a long word."""
+def hashed(piece: bytes, begin: np.ndarray, stop: np.ndarray, hashes: int = 2) -> list[np.ndarray]:
+    """The first hash or both of the words between begin and stop: chains over eight bytes at a time, or XXH3 of a long word."""
     eights = np.ndarray(len(piece) + 1, "<u8", piece + bytes(8), strides=(1,))  # the eight bytes from each place on
     sizes = stop - begin
-    a, b = (mixed(sizes.astype(U) * f) for f in FACTORS)
+    out = [mixed(sizes.astype(U) * f) for f in FACTORS[:hashes]]
     for at in range(0, min(LONG, int(sizes.max())), 8):
         live = np.flatnonzero(sizes > at)
         left = np.minimum(sizes[live] - at, 8).astype(U)
         value = eights[begin[live] + at] & (U(2**64 - 1) >> (U(64) - left * U(8)))
-        a[live] = mixed((a[live] ^ value) * FACTORS[0])
-        b[live] = mixed(b[live] + value * FACTORS[1])
+        out[0][live] = mixed((out[0][live] ^ value) * FACTORS[0])
+        if hashes > 1:
+            out[1][live] = mixed(out[1][live] + value * FACTORS[1])
     for i in np.flatnonzero(sizes > LONG).tolist():
         whole = xxh3_128_intdigest(piece[begin[i] : stop[i]])
-        a[i], b[i] = whole >> 64, whole & (2**64 - 1)
-    return a, b
+        for x, part in zip(out, (whole >> 64, whole & (2**64 - 1)), strict=False):
+            x[i] = part
+    return out
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of 64 bits of each word."""
+def word_hashes(text: bytes, hashes: int = 2) -> tuple[np.ndarray, ...]:
+    """Two hashes of 64 bits of each word, or the first alone."""
     out, start = [], 0
     while start < len(text):
         end = start + PIECE
@@ -98,8 +100,8 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         start = end
         begin, stop = word_spans(piece)
         if len(begin):
-            out.append(_hashed(piece, begin, stop))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U), np.zeros(0, U))
+            out.append(hashed(piece, begin, stop, hashes))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, U),) * hashes
 
 
 class _Sums:
