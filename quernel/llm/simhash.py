@@ -186,15 +186,21 @@ def work(segments: list[Segment], n: int) -> float:
     return sum((1 + s.values) / 2 + s.values * n / 2.0**s.width / COMPARISONS for s in segments)
 
 
-def all_segments(n: int, radius: int) -> list[Segment]:
-    """Segments of one lane that miss no pair within radius."""
+def cut(count: int, radius: int) -> list[Segment]:
+    """Segments of one lane, with balls that together miss no pair within radius; those that need no ball are left out."""
+    edges = [round(i * BITS / count) for i in range(count + 1)]
+    balls = [(radius + 1) // count - (i >= (radius + 1) % count) for i in range(count)]
+    return [Segment(((0, low, high - low),), ball) for (low, high), ball in zip(itertools.pairwise(edges), balls, strict=True) if ball >= 0]
+
 
-    def cut(count: int) -> list[Segment]:
-        edges = [round(i * BITS / count) for i in range(count + 1)]
-        balls = [(radius + 1) // count - (i >= (radius + 1) % count) for i in range(count)]
-        return [Segment(((0, low, high - low),), ball) for (low, high), ball in zip(itertools.pairwise(edges), balls, strict=True) if ball >= 0]
+def n_segments(n: int, radius: int) -> int:
+    """As many segments as take the least work."""
+    return min(range(2, max(2, radius + 1) + 1), key=lambda count: work(cut(count, radius), n))
 
-    return min((cut(c) for c in range(2, max(2, radius + 1) + 1)), key=lambda s: work(s, n))
+
+def all_segments(n: int, radius: int) -> list[Segment]:
+    """Segments of one lane that miss no pair within radius."""
+    return cut(n_segments(n, radius), radius)
 
 
 def lane_segments(n: int, share: float, lanes: int) -> list[Segment]:
