@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 
 from quernel.errors import BindError
 from quernel.functions import arithmetic as A
+from quernel.operators import theta
 from quernel.plans import ast
 
 NUMERIC = {"int", "bigint", "double"}
+#: Comparisons, and the same with their sides exchanged.
+FLIPPED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 SPARK = {"int": "int", "bigint": "bigint", "double": "double", "bool": "boolean", "varchar": "string", "null": "void"}
 
 
@@ -93,7 +96,7 @@ class Binder:
         return f"_{letter}{next(self.counter)}"
 
     # FROM
-    def sources(self, sources: tuple) -> Env:
+    def sources(self, sources: tuple, where=None) -> Env:
         if not sources:
             return Env(self.spark.range(1).select())
         env = None
@@ -108,9 +111,51 @@ class Binder:
             on = F.lit(True) if s.on is None else self.condition(s.on, both, "ON")
             if both.df is not env.df:
                 raise BindError("a subquery in ON isn't supported")
-            env = Env(env.df.join(df, on, s.kind), both.fields)
+            dealt = self.dealt(s, where, both, {f.internal for f in new}, df) if s.kind == "inner" else None
+            env = Env(env.df.join(df, on, s.kind) if dealt is None else dealt, both.fields)
         return env
 
+    def dealt(self, s: ast.Source, where, both: Env, new: set[str], df: DataFrame) -> DataFrame | None:
+        """The join by theta.join, if the tables meet by equal keys and by another condition too, and it is worth it."""
+        if both.df.isStreaming or df.isStreaming:
+            return None
+        keys, order, rest, across = [], None, [], False
+        ons = conjuncts(s.on)
+        for i, part in enumerate(ons + conjuncts(where)):
+            try:
+                sides = self.sides(part, both, new)
+                across |= sides is None and self.of(part, both, new) == {True, False}
+            except BindError:  # of WHERE: it names later tables
+                continue
+            if sides and sides[0] == "=":
+                a, b = sides[1:]
+                if {a.kind, b.kind} <= NUMERIC or a.kind == b.kind in ("varchar", "bool", "date"):
+                    kind = common([a.kind, b.kind])
+                    keys.append((a.to(kind), b.to(kind)))
+                    continue
+            if sides:
+                across = True
+                if order is None and sides[0] != "=" and {sides[1].kind, sides[2].kind} <= NUMERIC:
+                    order = (sides[0], sides[1].to("double"), sides[2].to("double"))
+            if i < len(ons):
+                rest.append(self.condition(part, both, "ON"))
+        return theta.join(both.df, df, keys, order, rest) if keys and across else None
+
+    def of(self, node, both: Env, new: set[str]) -> set[bool]:
+        """Whether the columns of an expression are the new table's."""
+        return {self.resolve(n, both).internal in new for n in ast.walk(node) if isinstance(n, ast.Name)}
+
+    def sides(self, node, both: Env, new: set[str]) -> tuple[str, Bound, Bound] | None:
+        """A comparison of an expression over the former tables with one over the new one, if neither can fail."""
+        if not isinstance(node, ast.Binary) or node.op not in FLIPPED:
+            return None
+        if any(isinstance(n, (ast.Scalar, ast.InQuery, ast.Aggregate)) or isinstance(n, ast.Binary) and n.op == "/" for n in ast.walk(node)):
+            return None
+        of = self.of(node.left, both, new), self.of(node.right, both, new)
+        if of == ({False}, {True}):
+            return node.op, self.bind(node.left, both), self.bind(node.right, both)
+        return (FLIPPED[node.op], self.bind(node.right, both), self.bind(node.left, both)) if of == ({True}, {False}) else None
+
     def resolve(self, name: ast.Name, env: Env) -> Field:
         found = [f for f in env.fields if f.name == name.column and name.table in (None, f.table)]
         if not found:
@@ -345,7 +390,7 @@ class Binder:
         return A.sum_bigint(c), "bigint"
 
     def select(self, q: ast.Select) -> Output:
-        env = self.sources(q.sources)
+        env = self.sources(q.sources, q.where)
         self.where(q.where, env)
         items = self.expand(q.items, env)
         names = [n for _, n in items]
